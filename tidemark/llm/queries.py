@@ -1,14 +1,18 @@
 """The queries of this subpackage: one opN_<name> for each operator, and the pipeline."""
 
 from tidemark.llm.decontam import op6_suffix_decontam
+from tidemark.llm.link_graph import op10_link_graph
 from tidemark.llm.ogg import op8_ogg
+from tidemark.llm.secret_scan import op7_markov_secrets
 from tidemark.llm.shared import table
 
 
 def queries() -> dict:
     return {
         "op6_suffix_decontam": lambda spark, d: op6_suffix_decontam(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op7_markov_secrets": lambda spark, d: op7_markov_secrets(table(spark, d, "documents")),
         "op8_ogg": lambda spark, d: op8_ogg(table(spark, d, "documents")),
+        "op10_link_graph": lambda spark, d: op10_link_graph(table(spark, d, "pages")),
     }
 
 
