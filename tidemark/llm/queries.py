@@ -2,6 +2,7 @@
 
 from tidemark.llm.decontam import op6_suffix_decontam
 from tidemark.llm.link_graph import op10_link_graph
+from tidemark.llm.near_dup import op5_chosen_path
 from tidemark.llm.ogg import op8_ogg
 from tidemark.llm.secret_scan import op7_markov_secrets
 from tidemark.llm.shared import table
@@ -9,6 +10,7 @@ from tidemark.llm.shared import table
 
 def queries() -> dict:
     return {
+        "op5_chosen_path": lambda spark, d: op5_chosen_path(table(spark, d, "documents")),
         "op6_suffix_decontam": lambda spark, d: op6_suffix_decontam(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op7_markov_secrets": lambda spark, d: op7_markov_secrets(table(spark, d, "documents")),
         "op8_ogg": lambda spark, d: op8_ogg(table(spark, d, "documents")),
