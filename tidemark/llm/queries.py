@@ -4,12 +4,16 @@ from tidemark.llm.decontam import op6_suffix_decontam
 from tidemark.llm.link_graph import op10_link_graph
 from tidemark.llm.near_dup import op5_chosen_path
 from tidemark.llm.ogg import op8_ogg
+from tidemark.llm.quality import op2_ordinal_quality
 from tidemark.llm.secret_scan import op7_markov_secrets
+from tidemark.llm.sentence_spans import op3_sentence_spans
 from tidemark.llm.shared import table
 
 
 def queries() -> dict:
     return {
+        "op2_ordinal_quality": lambda spark, d: op2_ordinal_quality(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op3_sentence_spans": lambda spark, d: op3_sentence_spans(table(spark, d, "documents")),
         "op5_chosen_path": lambda spark, d: op5_chosen_path(table(spark, d, "documents")),
         "op6_suffix_decontam": lambda spark, d: op6_suffix_decontam(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op7_markov_secrets": lambda spark, d: op7_markov_secrets(table(spark, d, "documents")),
