@@ -4,6 +4,7 @@ from tidemark.llm.decontam import op6_suffix_decontam
 from tidemark.llm.link_graph import op10_link_graph
 from tidemark.llm.mixing import op4_raking, op4_sql
 from tidemark.llm.near_dup import op5_chosen_path
+from tidemark.llm.ngram_lm import op9_elias_fano_lm
 from tidemark.llm.ogg import op8_ogg
 from tidemark.llm.pii import op1_pmi_sanitiser
 from tidemark.llm.quality import op2_ordinal_quality
@@ -25,6 +26,7 @@ def queries() -> dict:
         "op7_markov_secrets": lambda spark, d: op7_markov_secrets(table(spark, d, "documents")),
         "op8_ogg": lambda spark, d: op8_ogg(table(spark, d, "documents")),
         "pipeline": corpus_pipeline.run,
+        "op9_elias_fano_lm": lambda spark, d: op9_elias_fano_lm(table(spark, d, "documents")),
         "op10_link_graph": lambda spark, d: op10_link_graph(table(spark, d, "pages")),
     }
 
