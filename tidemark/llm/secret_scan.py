@@ -38,7 +38,9 @@ def random_strings(spark: SparkSession, n: int = SAMPLE_STRINGS) -> DataFrame:
 
 def ordinary_identifiers(docs: DataFrame, n: int = SAMPLE_DOCS) -> DataFrame:
     """Labelled ordinary identifiers: words of a bounded sample of documents (those with the smallest hashes of their texts), alone, joined, in camel case, and numbered."""
-    sample = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("_h"), "text").distinct().orderBy("_h", "text").limit(n)
+    hashed = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("_h"), "text")
+    chosen = hashed.groupBy("_h").count().orderBy("_h").limit(n).select("_h")
+    sample = hashed.join(F.broadcast(chosen), "_h").groupBy("_h").agg(F.min("text").alias("text"))
     word = sample.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{2,20}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("w"))
     number = F.pmod(F.hash("w"), F.lit(1000)).cast("string")
     low = F.lower("w")
