@@ -1,9 +1,665 @@
-"""The catalogue of registered queries and their SQL."""
+"""The catalogue: each operator applied to the driver's tables, with the same query in SQL.
 
+Events are the records: topic is the event type, key the user (none for every tenth), ordinal and id the event's number. Reports are
+made from events too, one each.
+"""
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions import codec, metrics, routing, rules
+from tidemark.operators import cursor, log, matrix, projection, workload
+from tidemark.schemas import JOIN, keyed
+from tidemark.sources import reports as rep
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+BASE = """b as (select event_id ordinal, event_type topic, case when user_id % 10 = 0 then null else user_id::varchar end as key, event_id::varchar event_id, ts, value from events),
+ e as (select *, row_number() over (partition by topic, key order by ordinal)::bigint seq from b)"""
+COMMITS = "c as (select 'sub-' || (ordinal % 3) subscription, topic, key, seq from e where ordinal % 5 = 0)"
+TRUNC = "h as (select topic, key, max(seq) head from e group by all), t as (select topic, key, head // 2 bound, head from h where coalesce(key, '0')::bigint % 2 = 1)"
+EXPERIMENTS = matrix.EXPERIMENTS
+_LIST = "[" + ", ".join(f"'{x}'" for x in EXPERIMENTS) + "]"
+_TOPO = ["scylla-1", "scylla-2n", "scylla-4n"]
+REPORTS = f"""r as (select event_id, ({_LIST})[(event_id % 18 + 1)::int] experiment_id, case when event_id % 23 = 0 then 'failed' else 'completed' end status, floor(value * 100) / 100 v,
+ (['mem', 'sqlite', 'scylla', 'tikv-raw'])[((event_id // 18) % 4 + 1)::int] storage, (['aws-t3-medium', 'aws-t4g-medium'])[((event_id // 72) % 2 + 1)::int] hardware,
+ (['{_TOPO[0]}', '{_TOPO[1]}', '{_TOPO[2]}'])[((event_id // 144) % 3 + 1)::int] topo, event_id % 11 = 0 bare from events),
+ f as (select *, experiment_id || '-' || storage || case when storage = 'scylla' then '-' || topo else '' end || '-isolated-lab-off-' || hardware || '-pk' || (event_id % 3) || '-c' || (event_id % 5) || '-' || lpad(event_id::varchar, 8, '0') || '.json' file from r)"""
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        _queries[name] = f
+        if sql is not None:
+            _sql[name] = sql
+        return f
+
+    return add
+
+
+def batch(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select(
+        F.col("event_id").alias("ordinal"), F.lit("memory").alias("dest_kind"), F.lit("default").alias("dest_logical"), F.col("event_type").alias("topic"),
+        F.when(F.col("user_id") % 10 != 0, F.col("user_id").cast("string")).alias("key"), F.col("event_id").cast("string").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"),
+        F.lit(0).cast("long").alias("attempt"), F.lit(None).cast("string").alias("actor_ref"), F.col("props").cast("binary").alias("payload"), "value",
+    )
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    """All records as the rows of a log."""
+    return log.allocate(keyed(batch(spark, d))).drop("_key")
+
+
+def commits(spark: SparkSession, d: str) -> DataFrame:
+    """Every fifth row commits its sequence for one of three subscriptions."""
+    return events(spark, d).where("ordinal % 5 = 0").select(F.concat(F.lit("sub-"), (F.col("ordinal") % 3).cast("string")).alias("subscription"), "dest_kind", "dest_logical", "topic", "key", "seq")
+
+
+def truncations(spark: SparkSession, d: str) -> DataFrame:
+    """Half of each stream with an odd key."""
+    h = log.heads(events(spark, d)).where("cast(coalesce(key, '0') as long) % 2 = 1")
+    return h.select("dest_kind", "dest_logical", "topic", "key", F.expr("next_seq div 2").alias("bound"), F.col("next_seq").alias("head"), F.lit(1).cast("long").alias("version"))
+
+
+def run_reports(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    pick = lambda xs, i: F.get(F.array(*(F.lit(x) for x in xs)), i.cast("int"))
+    i = F.col("event_id")
+    r = e.select(
+        i, pick(EXPERIMENTS, i % 18).alias("experiment_id"), F.when(i % 23 == 0, "failed").otherwise("completed").alias("status"), (F.floor(F.col("value") * 100) / 100).alias("v"),
+        pick(["mem", "sqlite", "scylla", "tikv-raw"], F.floor(i / 18) % 4).alias("storage"), pick(["aws-t3-medium", "aws-t4g-medium"], F.floor(i / 72) % 2).alias("hardware"), pick(_TOPO, F.floor(i / 144) % 3).alias("topo"),
+    )
+    tail = F.concat(F.lit("-isolated-lab-off-"), "hardware", F.lit("-pk"), (i % 3).cast("string"), F.lit("-c"), (i % 5).cast("string"), F.lit("-"), F.lpad(i.cast("string"), 8, "0"), F.lit(".json"))
+    v = F.col("v")
+    m = {
+        "p50_ms": v, "p95_ms": v * (i % 13), "p99_ms": v * 4, "slope_vs_index": (i % 5) * 0.004, "events_per_sec_batch_1": v, "events_per_sec_batch_1000": v * (i % 4) * 0.3, "p95_poll_ms_1k": v, "p95_poll_ms_100k": v * (i % 5),
+        "decile_p95_slope": (i % 9) * 0.01, "pre_truncate_p95_ms": v, "post_truncate_p95_ms": v * (i % 4) * 0.7, "growth_ratio_same_vs_isolated": i % 3, "growth_ratio": i % 4, "error_rate": (i % 6) * 0.0003, "achieved_ops_per_sec": v * 100,
+        "rows_read": i % 3, "expected_rows": i % 2 + 1, "client_count": i % 5, "partition_count": i % 3,
+    }
+    flat = F.create_map(*(x for k, c in m.items() for x in (F.lit(k), c.cast("double").cast("string"))))
+    return r.select(
+        "*", F.concat("experiment_id", F.lit("-"), "storage", F.when(F.col("storage") == "scylla", F.concat(F.lit("-"), "topo")).otherwise(""), tail).alias("file"), F.lit("off").alias("telemetry"), F.lit("isolated-lab").alias("topology"),
+        F.lit(None).cast("string").alias("scylla_topology"), F.lit(None).cast("string").alias("tikv_topology"), F.lit(None).cast("long").alias("surreal_instances"), F.format_string("rt_per_append=%.2f", (i % 4) * 0.25).alias("notes"),
+        F.when(i % 11 == 0, F.create_map().cast("map<string,string>")).otherwise(flat).alias("metrics"),
+    )
+
+
+# append
+
+
+@query("append_assign_seq", f"with {BASE} select ordinal, topic, key, seq from e")
+def _(spark, d):
+    return events(spark, d).select("ordinal", "topic", "key", "seq")
+
+
+@query("append_assign_seq_bulk", f"with {BASE} select ordinal, topic, key, seq from e")
+def _(spark, d):
+    return log.allocate(keyed(batch(spark, d)), buckets=32).select("ordinal", "topic", "key", "seq")
+
+
+def _repeated(spark, d):
+    """The batch, and every seventh record again under a later ordinal."""
+    b = batch(spark, d)
+    return b.unionByName(b.where("ordinal % 7 = 0").withColumn("ordinal", F.col("ordinal") + 10_000_000))
+
+
+REPEATED = "u as (select * from b union all select ordinal + 10000000, topic, key, event_id, ts, value from b where ordinal % 7 = 0)"
+
+
+@query("append_dedupe_batch", f"with {BASE}, {REPEATED} select topic, key, event_id, min(ordinal) ordinal, count(*)::bigint copies from u group by all")
+def _(spark, d):
+    first = log.first_ordinal(keyed(_repeated(spark, d)))
+    return first.groupBy("topic", "key", "event_id", F.col("first").alias("o")).agg(F.count("*").alias("copies")).select("topic", "key", "event_id", F.col("o").alias("ordinal"), "copies")
+
+
+@query("append_result_order", f"with {BASE}, {REPEATED} select u.ordinal, e.seq, u.ordinal = e.ordinal is_new from u join e using (event_id)")
+def _(spark, d):
+    return log.plan_append(_repeated(spark, d)).select("ordinal", "seq", "is_new")
+
+
+OVERLAP = "n as (select (count(*) // 2)::bigint half from b)"
+
+
+def _halves(spark, d):
+    """What the log holds: the first half. The batch: from a quarter on."""
+    e = events(spark, d)
+    n = e.count()
+    return e.where(F.col("ordinal") < n // 2), batch(spark, d).where(F.col("ordinal") >= n // 4)
+
+
+@query("append_dedupe_stored", f"with {BASE}, {OVERLAP} select ordinal, topic, key, seq, ordinal >= (select half from n) is_new from e where ordinal >= (select count(*) // 4 from b)")
+def _(spark, d):
+    stored, new = _halves(spark, d)
+    return log.plan_append(new, stored, log.heads(stored)).select("ordinal", "topic", "key", "seq", "is_new")
+
+
+@query("append_resume_head", f"with {BASE}, {OVERLAP} select topic, key, min(seq) first_seq, max(seq) last_seq, count(*)::bigint n from e where ordinal >= (select half from n) group by all")
+def _(spark, d):
+    stored, new = _halves(spark, d)
+    n = stored.count()
+    got = log.plan_append(new.where(F.col("ordinal") >= n), None, log.heads(stored))
+    return got.groupBy("topic", "key").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n"))
+
+
+@query(
+    "idempotency_policy",
+    f"with {BASE}, {REPEATED}, k as (select topic, key, ordinal, event_id from u where topic = 'error' or ordinal < 10000000) select topic, key, ordinal, row_number() over (partition by topic, key order by ordinal)::bigint seq from k",
+)
+def _(spark, d):
+    mode = log.policy(F.col("topic"), by_topic={"error": "none"})
+    return log.plan_append(_repeated(spark, d), mode=mode).where("is_new").select("topic", "key", "ordinal", "seq")
+
+
+@query("block_allocation_head", f"with {BASE} select topic, key, (ceil(max(seq) / 64.0) * 64)::bigint head from e group by all")
+def _(spark, d):
+    return log.heads(events(spark, d)).select("topic", "key", log.block_head(F.col("next_seq")).alias("head"))
+
+
+@query("append_counters", f"with {BASE}, {REPEATED} select topic, count(*)::bigint records, count(distinct event_id)::bigint writes from u group by topic")
+def _(spark, d):
+    return log.plan_append(_repeated(spark, d)).groupBy("topic").agg(F.count("*").alias("records"), F.count(F.when(F.col("is_new"), 1)).alias("writes"))
+
+
+# reads
+
+
+@query("read_from_stream", f"with {BASE} select topic, key, seq, event_id from e where topic = 'click' and key = '7' and seq > 0 order by seq limit 100")
+def _(spark, d):
+    return log.read_from(events(spark, d), log.on_stream("click", "7"), 0, 100).select("topic", "key", "seq", "event_id")
+
+
+@query("read_from_mid", f"with {BASE} select topic, key, seq, event_id from e where topic = 'click' and key is null and seq > 3 order by seq limit 1000")
+def _(spark, d):
+    return log.read_from(events(spark, d), log.on_stream("click", ""), 3, 1000).select("topic", "key", "seq", "event_id")
+
+
+@query("read_limit", f"with {BASE} select seq from e where topic = 'view' and key = '3' order by seq limit 2")
+def _(spark, d):
+    return log.read_from(events(spark, d), log.on_stream("view", "3"), 0, 2).select("seq")
+
+
+@query("read_from_topic_all", f"with {BASE} select seq, key, event_id from e where topic = 'purchase' order by seq, key nulls first limit 10000")
+def _(spark, d):
+    return log.read_from_topic(events(spark, d), F.col("topic") == "purchase", 0, 10_000).select("seq", "key", "event_id")
+
+
+@query("read_from_topic_key", f"with {BASE} select seq, key, event_id from e where topic = 'purchase' and key = '11' order by seq limit 50")
+def _(spark, d):
+    return log.read_from(events(spark, d), log.on_stream("purchase", "11"), 0, 50).select("seq", "key", "event_id")
+
+
+@query("read_from_topic_after_limit", f"with {BASE} select seq, key, event_id from e where topic = 'click' and seq > 1 order by seq, key nulls first limit 200")
+def _(spark, d):
+    return log.read_from_topic(events(spark, d), F.col("topic") == "click", 1, 200).select("seq", "key", "event_id")
+
+
+@query("read_topic_cursor", f"with {BASE} select seq, key from e where topic = 'click' and (seq > 2 or seq = 2 and coalesce(key, '') > '20') order by seq, key nulls first limit 100")
+def _(spark, d):
+    return log.read_topic_page(events(spark, d), F.col("topic") == "click", (2, "20"), 100).select("seq", "key")
+
+
+@query("topic_stream_index", f"with {BASE} select distinct topic, key from b where topic in ('click', 'view')")
+def _(spark, d):
+    return log.known(batch(spark, d), ["click", "view"]).select("topic", "key")
+
+
+@query("stream_heads", f"with {BASE} select topic, key, max(seq) head from e group by all")
+def _(spark, d):
+    return log.heads(events(spark, d)).select("topic", "key", F.col("next_seq").alias("head"))
+
+
+@query("stream_counts", f"with {BASE} select topic, key, count(*)::bigint n from e group by all")
+def _(spark, d):
+    return events(spark, d).groupBy("topic", "key").agg(F.count("*").alias("n"))
+
+
+@query("tail_poll", f"with {BASE} select e.topic, e.key, e.seq from e join (select topic, key, max(seq) - 1 last from e group by all) h on e.topic = h.topic and e.key is not distinct from h.key and e.seq > h.last")
+def _(spark, d):
+    e = keyed(events(spark, d))
+    last = keyed(log.heads(e)).select(*JOIN, (F.col("next_seq") - 1).alias("last"))
+    return e.join(last, list(JOIN)).where("seq > last").select("topic", "key", "seq")
+
+
+@query("multi_partition_read", f"with {BASE} select topic, count(*)::bigint n from e where seq <= 5 group by topic")
+def _(spark, d):
+    return log.read_many(events(spark, d), 5).groupBy("topic").agg(F.count("*").alias("n"))
+
+
+# cursors
+
+
+@query("checkpoint_state", f"with {BASE}, {COMMITS} select subscription, topic, key, max(seq) seq from c group by all")
+def _(spark, d):
+    return cursor.checkpoint_state(commits(spark, d)).select("subscription", "topic", "key", "seq")
+
+
+@query("checkpoint_load", f"with {BASE}, {COMMITS} select topic, key, max(seq) seq from c where subscription = 'sub-1' group by all")
+def _(spark, d):
+    return cursor.load_checkpoint(commits(spark, d), "sub-1").select("topic", "key", "seq")
+
+
+@query(
+    "consumer_lag",
+    f"with {BASE}, {COMMITS}, s as (select subscription, topic, key, max(seq) checkpoint from c group by all), h as (select topic, key, max(seq) head from e group by all) select subscription, s.topic, s.key, checkpoint, head, head - checkpoint lag from s join h on s.topic = h.topic and s.key is not distinct from h.key",
+)
+def _(spark, d):
+    return cursor.lag(log.heads(events(spark, d)), commits(spark, d)).select("subscription", "topic", "key", "checkpoint", "head", "lag")
+
+
+@query(
+    "catch_up_read",
+    f"with {BASE}, {COMMITS}, s as (select topic, key, max(seq) done from c where subscription = 'sub-2' group by all) select e.topic, e.key, e.seq from e left join s on s.topic = e.topic and s.key is not distinct from e.key where e.seq > coalesce(done, 0)",
+)
+def _(spark, d):
+    return cursor.catch_up(events(spark, d), commits(spark, d), "sub-2").select("topic", "key", "seq")
+
+
+@query("truncate_visible", f"with {BASE}, {TRUNC} select e.topic, e.key, e.seq from e left join t on t.topic = e.topic and t.key is not distinct from e.key where bound is null or seq >= bound")
+def _(spark, d):
+    return cursor.visible(events(spark, d), truncations(spark, d)).select("topic", "key", "seq")
+
+
+@query("truncate_removed", f"with {BASE}, {TRUNC} select topic, key, bound, greatest(bound - 1, 0)::bigint removed from t")
+def _(spark, d):
+    none = truncations(spark, d).limit(0)
+    return cursor.removed(events(spark, d), none, truncations(spark, d).select("dest_kind", "dest_logical", "topic", "key", "bound")).select("topic", "key", "bound", "removed")
+
+
+@query("truncate_floor", f"with {BASE}, {TRUNC} select topic, key, bound from t")
+def _(spark, d):
+    # a later, lower bound does nothing
+    t = truncations(spark, d)
+    low = t.withColumns({"bound": F.expr("bound div 2"), "version": F.lit(2).cast("long"), "head": F.col("head") + 5})
+    return cursor.floors(t.unionByName(low)).select("topic", "key", "bound")
+
+
+@query("truncate_then_append", f"with {BASE}, {TRUNC}, p as (select topic, key, head + 100 bound, head // 2 old from h) select e.topic, e.key, e.seq from e join p on p.topic = e.topic and p.key is not distinct from e.key where seq > old")
+def _(spark, d):
+    # a bound past the head hides what was there, not what came later
+    e = events(spark, d)
+    t = log.heads(e).select("dest_kind", "dest_logical", "topic", "key", (F.col("next_seq") + 100).alias("bound"), F.expr("next_seq div 2").alias("head"), F.lit(1).cast("long").alias("version"))
+    return cursor.visible(e, t).select("topic", "key", "seq")
+
+
+@query("ack_reclaim", f"with {BASE}, {COMMITS}, s as (select subscription, topic, key, max(seq) seq from c group by all) select topic, key, min(seq) bound from s group by all")
+def _(spark, d):
+    return cursor.acknowledged(commits(spark, d)).select("topic", "key", "bound")
+
+
+# keys and routes
+
+
+@query("storage_key", f"with {BASE} select distinct 'memory:default' || chr(31) || topic || chr(31) || coalesce(key, '') storage_key, topic, key from b")
+def _(spark, d):
+    sk = codec.storage_key(F.col("dest_kind"), F.col("dest_logical"), F.col("topic"), F.col("key"))
+    rows = batch(spark, d).select(sk.alias("storage_key"), "topic").distinct()
+    return rows.select("storage_key", "topic", codec.key_of(F.col("storage_key")).alias("key"))
+
+
+@query("checkpoint_key", f"with {BASE} select distinct hex('sub' || chr(0) || topic || chr(31) || coalesce(key, '')) wire from b")
+def _(spark, d):
+    return batch(spark, d).select(F.hex(codec.checkpoint_key(F.lit("sub"), codec.partition_key(F.col("topic"), F.col("key")))).alias("wire")).distinct()
+
+
+@query("event_key_padded", f"with {BASE} select 's/' || topic || '/e/' || lpad(seq::varchar, 20, '0') event_key, seq, ordinal from e")
+def _(spark, d):
+    rows = events(spark, d).select(codec.event_key(F.col("topic"), F.col("seq")).alias("event_key"), "ordinal")
+    return rows.select("event_key", codec.seq_of(F.col("event_key")).alias("seq"), "ordinal")
+
+
+@query("write_consistency", "select * from (values ('one', 'ONE'), ('local_one', 'LOCAL_ONE'), ('QUORUM', 'LOCAL_QUORUM'), ('local_quorum', 'LOCAL_QUORUM'), ('all', null)) t(name, level)")
+def _(spark, d):
+    names = spark.range(1).select(F.explode(F.array(*(F.lit(x) for x in ("one", "local_one", "QUORUM", "local_quorum", "all")))).alias("name"))
+    return names.select("name", codec.write_consistency(F.col("name")).alias("level"))
+
+
+RULES = [("c", "first"), ("cl", "longer"), ("cl", "again"), ("pur", "sales"), ("view", "views")]
+
+
+@query("route_constant", f"with {BASE} select topic, 'main' destination, count(*)::bigint n from b group by topic")
+def _(spark, d):
+    return batch(spark, d).groupBy("topic", routing.constant("main").alias("destination")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "route_prefix",
+    f"""with {BASE}, k(p, dest, i) as (values {", ".join(f"('{p}', '{x}', {i})" for i, (p, x) in enumerate(RULES))}), w as (select topic, arg_max(dest, length(p) * 100 - i) dest from (select distinct topic from b) b join k on starts_with(topic, p) group by topic)
+    select ordinal, b.topic, coalesce(dest, 'rest') destination from b left join w on b.topic = w.topic""",
+)
+def _(spark, d):
+    return batch(spark, d).select("ordinal", "topic", routing.longest_prefix(F.col("topic"), RULES, "rest").alias("destination"))
+
+
+@query("route_hash", f"with {BASE} select ordinal, key, case when key is null then 0 else ('0x' || substr(md5(key), 1, 15))::bigint % 4 end::bigint cell from b")
+def _(spark, d):
+    return batch(spark, d).select("ordinal", "key", routing.cell(F.col("key"), 4).alias("cell"))
+
+
+@query("route_unknown", f"with {BASE} select topic, count(*)::bigint n from b where topic not in ('click', 'view') group by topic")
+def _(spark, d):
+    registered = spark.range(1).select(F.explode(F.array(F.lit("click"), F.lit("view"))).alias("topic"))
+    return routing.unknown(batch(spark, d), registered, "topic").groupBy("topic").agg(F.count("*").alias("n"))
+
+
+@query("route_resolve", f"with {BASE} select topic, key, case when topic = 'click' then 'sqlite:hot' else 'memory:default' end router_key, count(*)::bigint n from b group by all")
+def _(spark, d):
+    kind = routing.longest_prefix(F.col("topic"), [("click", "sqlite")], "memory")
+    logical = F.when(kind == "sqlite", "hot").otherwise("default")
+    return batch(spark, d).groupBy("topic", "key", codec.router_key(kind, logical).alias("router_key")).agg(F.count("*").alias("n"))
+
+
+# metrics
+
+
+def _at(p, x="value"):
+    return f"list_sort(list({x}))[(round({p}::double / 100.0::double * (count(*) - 1)) + 1)::int]"
+
+
+@query("latency_percentiles", f"select event_type topic, {_at(50)} p50, {_at(95)} p95, {_at(99)} p99 from events group by all")
+def _(spark, d):
+    return metrics.nearest_rank(batch(spark, d), "value", [50, 95, 99], ["topic"])
+
+
+INDEXED = "i as (select event_type topic, value, row_number() over (partition by event_type order by event_id) - 1 i, count(*) over (partition by event_type) n from events)"
+CHUNKS = f"{INDEXED}, k as (select topic, (i // (n // 10))::bigint c, value from i where n >= 20), q as (select topic, c, {_at(95)} p95 from k where c < 10 group by all)"
+
+
+@query(
+    "latency_summary",
+    f"""with {CHUNKS}, s as (select topic, round(regr_slope(p95, c), 9) decile_p95_slope from q group by topic)
+    select i.topic, {_at(50)} p50, {_at(95)} p95, {_at(99)} p99, round(avg(value), 6) mean, count(*)::bigint sample_count, round(regr_slope(value, i), 9) slope_vs_index, any_value(decile_p95_slope) decile_p95_slope from i join s on s.topic = i.topic group by i.topic""",
+)
+def _(spark, d):
+    got = metrics.summary(batch(spark, d), "value", "ordinal", ["topic"])
+    return got.select("topic", "p50", "p95", "p99", F.round("mean", 6).alias("mean"), "sample_count", F.round("slope_vs_index", 9).alias("slope_vs_index"), F.round("decile_p95_slope", 9).alias("decile_p95_slope"))
+
+
+@query("slope_vs_index", f"with {INDEXED} select topic, round(regr_slope(value, i), 9) slope_vs_index from i group by topic")
+def _(spark, d):
+    return metrics.slope_vs_index(batch(spark, d), "value", "ordinal", ["topic"]).withColumn("slope_vs_index", F.round("slope_vs_index", 9))
+
+
+@query("decile_p95_slope", f"with {CHUNKS} select topic, round(regr_slope(p95, c), 9) decile_p95_slope from q group by topic")
+def _(spark, d):
+    return metrics.decile_p95_slope(batch(spark, d), "value", "ordinal", ["topic"]).withColumn("decile_p95_slope", F.round("decile_p95_slope", 9))
+
+
+@query("growth_ratio", "select event_id, case when event_id % 4 = 0 then case when event_id % 8 = 0 then 1.0 else 'Infinity'::double end else (event_id % 8)::double / (event_id % 4) end::double ratio from events")
+def _(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select("event_id", metrics.growth_ratio(F.col("event_id") % 4, F.col("event_id") % 8).alias("ratio"))
+
+
+@query("error_rate", "select event_type topic, sum(case when event_id % 9 = 0 then 1 else 0 end)::double / count(*) error_rate, count(*)::double / 60 ops_per_sec from events group by all")
+def _(spark, d):
+    e = batch(spark, d).groupBy("topic").agg(F.sum(F.when(F.col("ordinal") % 9 == 0, 1).otherwise(0)).alias("bad"), F.count("*").alias("n"))
+    return e.select("topic", metrics.error_rate(F.col("bad"), F.col("n")).alias("error_rate"), (F.col("n") / F.lit(60)).alias("ops_per_sec"))
+
+
+@query("round_trips", "select event_id, coalesce((event_id % 7)::double / nullif(event_id % 3, 0), 0) per_op from events")
+def _(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select("event_id", metrics.per_op(F.col("event_id") % 7, F.col("event_id") % 3).alias("per_op"))
+
+
+@query("size_parse", "select event_id, case event_id % 4 when 0 then (event_id % 10) * 1024.0 when 1 then event_id % 10 when 2 then (event_id % 10) / 1024.0 else 0 end::double gib from events")
+def _(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    unit = F.get(F.array(F.lit("T"), F.lit("G"), F.lit("M"), F.lit("?")), (F.col("event_id") % 4).cast("int"))
+    return e.select("event_id", metrics.size_gib(F.concat((F.col("event_id") % 10).cast("string"), unit)).alias("gib"))
+
+
+@query("resource_profile", "select event_type topic, max(value) peak, round(avg(value), 6) mean, arg_min(value, event_id) first, arg_max(value, event_id) last from events group by all")
+def _(spark, d):
+    return metrics.resource_profile(batch(spark, d), "value", "ordinal", ["topic"]).withColumn("mean", F.round("mean", 6))
+
+
+# rules and projections
+
+_M = """case when bare then null else v end p50, case when bare then null else v * (event_id % 13) end p95, event_id % 5 * 0.004::double slope, v * (event_id % 4) * 0.3::double b1000, v * (event_id % 5) k100, event_id % 9 * 0.01::double decile,
+ v * (event_id % 4) * 0.7::double post, (event_id % 6) * 0.0003::double err"""
+_PASS = """case when experiment_id = 'bm-c0' then case when bare or v <= 0 then false else p95 / p50 < 10 and abs(slope) < 0.01::double end
+ when experiment_id = 'bm-c1' then bare or b1000 >= v * 0.5::double when experiment_id = 'bm-c2' then bare or k100 <= v * 2 when experiment_id = 'bm-c3' then bare or decile < 0.05::double
+ when experiment_id = 'bm-c4' then not bare and post <= v * 1.5::double when experiment_id = 'bm-c5' then not bare and event_id % 3 > 1 when experiment_id = 'bm-c6' then not bare and event_id % 4 < 2
+ when experiment_id = 'bm-p1' then not bare and v * 100 > 0 when experiment_id = 'bm-p2' then not bare and event_id % 3 = event_id % 2 + 1 else not bare and err < 0.001::double end"""
+
+
+@query("pass_eval", f"with {REPORTS}, m as (select *, {_M} from f) select event_id, experiment_id, {_PASS} pass from m")
+def _(spark, d):
+    r = run_reports(spark, d)
+    return r.select("event_id", "experiment_id", rules.passed(F.col("experiment_id"), projection.metric).alias("pass"))
+
+
+@query(
+    "results_summary",
+    f"""with {REPORTS}, m as (select *, {_M} from f), o as (select *, case when {_PASS} then 'PASS' else 'FAIL' end ok from m) select file,
+    case experiment_id when 'bm-c0' then printf('p50=%.3fms p95=%.3fms %s', coalesce(p50, 0), coalesce(p95, 0), ok) when 'bm-p2' then printf('read=%d/%d %s', case when bare then 0 else event_id % 3 end, case when bare then 0 else event_id % 2 + 1 end, ok)
+    else printf('C=%d%s %.0f/s err=%.4f%% %s', case when bare then 0 else event_id % 5 end, case when bare then '' else printf(' K=%d', event_id % 3) end, case when bare then 0 else v * 100 end, case when bare then 0 else err * 100 end, ok) end line
+    from o where experiment_id in ('bm-c0', 'bm-p2', 'bm-m4')""",
+)
+def _(spark, d):
+    r = run_reports(spark, d).where("experiment_id in ('bm-c0', 'bm-p2', 'bm-m4')")
+    e = F.col("experiment_id")
+    return r.select("file", rules.result_line(e, projection.metric, rules.passed(e, projection.metric)).alias("line"))
+
+
+@query(
+    "fill_results",
+    f"""with {REPORTS}, m as (select *, {_M} from f), o as (select *, case when {_PASS} then 'PASS' else 'FAIL' end ok from m)
+    select experiment_id, string_agg(printf('read=%d/%d %s', case when bare then 0 else event_id % 3 end, case when bare then 0 else event_id % 2 + 1 end, ok) || ' (' || storage || '/off)', '; ' order by file) results from o where experiment_id = 'bm-p2' and status = 'completed' group by all""",
+)
+def _(spark, d):
+    return rep.results(run_reports(spark, d)).where("experiment_id = 'bm-p2'")
+
+
+@query("report_filename", f"with {REPORTS} select event_id, experiment_id || '-' || storage || case storage when 'scylla' then '-scylla-1' when 'tikv-raw' then '-tikv-minimal' else '' end || '-isolated-lab-off-' || hardware || '-c' || (event_id % 5) || '.json' name from f")
+def _(spark, d):
+    return run_reports(spark, d).select("event_id", rep.file_name([F.concat(F.lit("c"), (F.col("event_id") % 5).cast("string"))]).alias("name"))
+
+
+@query("report_filename_parse", f"with {REPORTS} select experiment_id, storage, (event_id % 3)::bigint partitions, (event_id % 5)::bigint clients, case when bare then null else v * 100 end ops, file from f where status = 'completed'")
+def _(spark, d):
+    return projection.track_table(run_reports(spark, d))
+
+
+@query("peak_by_group", f"with {REPORTS} select hardware, storage, experiment_id, coalesce(max(case when not bare then v * 100 end), 0) ops from f group by all")
+def _(spark, d):
+    return run_reports(spark, d).groupBy("hardware", "storage", "experiment_id").agg(F.max(F.coalesce(projection.metric("achieved_ops_per_sec"), F.lit(0.0))).alias("ops"))
+
+
+_CURVE = """g as (select topo topology, case when bare then 0 else v * 100 end ops, case when bare then 0 else event_id % 5 end::bigint clients, case when bare then null else v * 4 end p99_ms, file from f where experiment_id = 'bm-m4' and hardware = 'aws-t3-medium' and storage = 'scylla'),
+ k as (select *, case topology when 'scylla-1' then 1 when 'scylla-2n' then 2 else 4 end::bigint nodes from g qualify row_number() over (partition by topology order by ops desc, file) = 1),
+ z as (select ceil(1e9::double / ops)::bigint clusters, nodes from k order by ops desc, nodes, topology desc limit 1)"""
+
+
+@query("scaling_curve", f"with {REPORTS}, {_CURVE} select k.topology, k.ops, k.clients, k.p99_ms, k.file, k.nodes, k.ops / (select ops from k where topology = 'scylla-1') vs_baseline, k.ops / k.nodes ops_per_node, (select clusters from z) clusters_for_target, (select clusters * nodes from z)::bigint nodes_for_target from k")
+def _(spark, d):
+    return projection.scaling_curve(run_reports(spark, d), "aws-t3-medium", "scylla")
+
+
+@query("curve_markdown", f"with {REPORTS}, {_CURVE} select nodes, topology, printf('| %s | %d | %.0f | %s | %.0f | %d |', topology, nodes, ops, printf('%.2fx', ops / (select ops from k where topology = 'scylla-1')), round_even(ops / nodes, 0), clients) line from k")
+def _(spark, d):
+    return projection.curve_markdown(projection.scaling_curve(run_reports(spark, d), "aws-t3-medium", "scylla"))
+
+
+_OWN = "o as (select *, case when bare then null else v * 100 end rate from f where hardware = 'aws-t3-medium' and storage = 'scylla')"
+_INPUTS = f"""{_OWN}, p as (select coalesce(arg_max(rate, file) filter (experiment_id = 'bm-l3' and rate is not null), arg_min(rate, file) filter (experiment_id in ('bm-l0', 'bm-l1', 'bm-l2') and rate is not null)) per_shard,
+ arg_max(rate, file) filter (experiment_id in ('bm-m2', 'bm-m4') and rate is not null) aggregate, max(rate) filter (experiment_id = 'bm-m4') cluster_peak,
+ arg_max(event_id % 3, file) filter (experiment_id in ('bm-m2', 'bm-m4') and rate is not null)::bigint partitions, arg_max(event_id % 5, file) filter (experiment_id in ('bm-m2', 'bm-m4') and rate is not null)::bigint clients from o)"""
+
+
+@query("projection_inputs", f"with {REPORTS}, {_INPUTS} select *, 1::bigint surreal_instances from p")
+def _(spark, d):
+    return projection.projection_inputs(run_reports(spark, d), "aws-t3-medium", "scylla")
+
+
+@query(
+    "fleet_projection",
+    f"""with {REPORTS}, {_INPUTS} select per_shard, aggregate, ceil(1e9::double / per_shard)::bigint partitions_for_target, ceil(1e9::double / aggregate)::bigint clusters_for_target, ceil(1e9::double / aggregate)::bigint * 2 nodes_for_target,
+    round(0.0416::double * (ceil(1e9::double / aggregate) * 2) / aggregate * (1e6::double / 3600), 6) reference_cost, round(0.0416::double * (2 / aggregate) * (1e6::double / 3600), 9) cost_per_million from p""",
+)
+def _(spark, d):
+    got = projection.fleet(projection.projection_inputs(run_reports(spark, d), "aws-t3-medium", "scylla").withColumns({"hourly": F.lit(0.0416), "nodes": F.lit(2).cast("long")}))
+    return got.select("per_shard", "aggregate", "partitions_for_target", "clusters_for_target", "nodes_for_target", F.round("reference_cost", 6).alias("reference_cost"), F.round("cost_per_million", 9).alias("cost_per_million"))
+
+
+_PEAKS = "q as (select hardware, topo topology, max(case when bare then 0 else v * 100 end) ops from f where experiment_id in ('bm-m4', 'bm-m5') and storage = 'scylla' group by all)"
+
+
+def _peaks(spark, d):
+    c = projection.ceilings(run_reports(spark, d))
+    return c.groupBy("hardware", "topology").agg(F.max("ops").alias("ops"))
+
+
+@query(
+    "monthly_cost",
+    f"""with {REPORTS}, {_PEAKS} select hardware, topology, ops, target, case when ops > 0 then ceil(target / ops) end::bigint clusters, case when ops > 0 then round(ceil(target / ops) * (case topology when 'scylla-1' then 1 when 'scylla-2n' then 2 else 4 end) *
+    (case hardware when 'aws-t3-medium' then 0.0416::double else 0.0336::double end) * 730, 6) else 'Infinity'::double end monthly_usd from q, (select unnest([10000, 50000, 100000, 1000000])::bigint target)""",
+)
+def _(spark, d):
+    return projection.monthly_cost(_peaks(spark, d)).withColumn("monthly_usd", F.round("monthly_usd", 6))
+
+
+@query("ceiling_matrix", f"with {REPORTS} select hardware, topo topology, file tag, true z1_on, case when bare then 0 else v * 100 end ops from f where experiment_id in ('bm-m4', 'bm-m5') and storage = 'scylla'")
+def _(spark, d):
+    return projection.ceilings(run_reports(spark, d))
+
+
+_INDEX = """x as (select (['scylla-1', 'scylla-2n', 'scylla-4n'])[((event_id // 54) % 3 + 1)::int] topology, (['m4', 't8', 't64'])[(event_id % 3 + 1)::int] variant, case when event_id % 2 = 0 then 'on' else 'off' end l2,
+ case when bare then 0 else v * 100 end ops, event_id % 4 * 0.25::double rt, file from f where storage = 'scylla' and experiment_id in ('bm-m4', 'bm-m5')),
+ y as (select *, 'idx-z1off-' || variant || '-l2' || l2 || '-' || file nf from x)"""
+
+
+def _index_reports(spark, d):
+    i = F.col("event_id")
+    r = run_reports(spark, d)
+    pick = lambda xs, k: F.get(F.array(*(F.lit(x) for x in xs)), k.cast("int"))
+    name = F.concat(F.lit("idx-z1off-"), pick(["m4", "t8", "t64"], i % 3), F.lit("-l2"), F.when(i % 2 == 0, "on").otherwise("off"), F.lit("-"), "file")
+    return r.withColumns({"scylla_topology": pick(_TOPO, F.floor(i / 54) % 3), "file": name})
+
+
+@query("index_matrix", f"with {REPORTS}, {_INDEX} select topology, variant, l2, max(ops) ops, arg_max(rt, (ops, nf)) rt, arg_max(nf, (ops, nf)) file from y group by all")
+def _(spark, d):
+    return projection.index_matrix(_index_reports(spark, d)).select("topology", "variant", "l2", "ops", "rt", "file")
+
+
+@query(
+    "index_verdict",
+    f"""with {REPORTS}, {_INDEX}, w as (select coalesce(max(ops) filter (topology = 'scylla-2n' and variant = 'm4' and l2 = 'off'), 0) off2, coalesce(max(ops) filter (topology = 'scylla-2n' and variant = 'm4' and l2 = 'on'), 0) on2, coalesce(max(ops) filter (topology = 'scylla-2n' and variant = 't64' and l2 = 'off'), 0) t_off2,
+    coalesce(max(ops) filter (topology = 'scylla-2n' and variant = 't64' and l2 = 'on'), 0) t_on2, coalesce(max(ops) filter (topology = 'scylla-4n' and variant = 'm4' and l2 = 'off'), 0) off4, coalesce(max(ops) filter (topology = 'scylla-1' and variant = 'm4' and l2 = 'off'), 0) off1 from y)
+    select *, case when off2 > 0 and t_off2 > 0 and t_off2 >= 1.5::double * off2 then 'index-partition-confirmed' when off2 > 0 and abs(on2 - off2) / greatest(off2, 1) < 0.1::double then 'index-cache-insufficient' else 'mixed' end verdict,
+    case when off1 > 0 and off2 > 0 then off2 / 2 end per_node_2n, t_on2 > 0 and t_off2 > 0 and abs(t_on2 - t_off2) / greatest(t_off2, 1) < 0.1::double cache_effective from w""",
+)
+def _(spark, d):
+    return projection.index_verdict(projection.index_matrix(_index_reports(spark, d)))
+
+
+@query(
+    "stress_parse",
+    "with l as (select event_type log, event_id place, value from events), x as (select log, arg_min((floor(value), place), (-floor(value), place)) b from l where place % 3 = 0 group by log) select log, b[1]::double ops, (b[2] % 16)::bigint threads, (b[2] % 50)::double p95_ms from x",
+)
+def _(spark, d):
+    e = batch(spark, d)
+    i = F.col("ordinal")
+    # each third record writes its three lines: threads, rate, percentile
+    text = F.array(F.format_string("Running with threads: %d", i % 16), F.format_string("Op rate : %d op/s", F.floor("value").cast("long")), F.format_string("Latency 95th percentile : %d.0 ms", i % 50))
+    rows = e.where("ordinal % 3 = 0").select(F.col("topic").alias("log"), "ordinal", F.posexplode(text).alias("j", "text")).select("log", (F.col("ordinal") * 4 + F.col("j")).alias("place"), "text")
+    return projection.stress_peak(rows)
+
+
+@query(
+    "sweep_stop",
+    """with s as (select event_type topic, event_id, value ops, (event_id % 50) * 0.0003::double error_rate, event_id % 90 cpu_pct, (event_id % 8) * 0.5::double rss_gib, lag(value) over (partition by event_type order by event_id) p from events)
+    select topic, event_id, case when error_rate >= 0.01::double then 'errors' when cpu_pct >= 85 then 'cpu' when rss_gib >= 3.5::double then 'memory' when p > 0 and (ops - p) / p < 0.10::double then 'gain' end stop from s""",
+)
+def _(spark, d):
+    i = F.col("ordinal")
+    s = batch(spark, d).select("topic", i.alias("event_id"), F.col("value").alias("ops"), ((i % 50) * 0.0003).alias("error_rate"), (i % 90).alias("cpu_pct"), ((i % 8) * 0.5).alias("rss_gib"))
+    return projection.sweep_stop(s, ["topic"], "event_id").select("topic", "event_id", "stop")
+
+
+@query("publisher_sum", f"with {REPORTS} select hardware, round(sum(case when bare then 0 else v * 100 end), 3) ops, count(*)::bigint publishers from f where experiment_id = 'bm-m4' group by all")
+def _(spark, d):
+    return projection.publishers(run_reports(spark, d).where("experiment_id = 'bm-m4'"), ["hardware"]).withColumn("ops", F.round("ops", 3))
+
+
+@query("hourly_price", "select * from (values " + ", ".join(f"('{k}', {v}::double)" for k, v in projection.HOURLY.items()) + ") t(hardware, hourly)")
+def _(spark, d):
+    rows = spark.range(1).select(F.explode(F.array(*(F.lit(k) for k in projection.HOURLY))).alias("hardware"))
+    return rows.select("hardware", projection.lookup(F.col("hardware"), projection.HOURLY).alias("hourly"))
+
+
+@query("node_counts", "select * from (values " + ", ".join(f"('{k}', {v}::bigint)" for k, v in projection.NODES.items()) + ") t(topology, nodes)")
+def _(spark, d):
+    rows = spark.range(1).select(F.explode(F.array(*(F.lit(k) for k in projection.NODES))).alias("topology"))
+    return rows.select("topology", projection.lookup(F.col("topology"), projection.NODES).cast("long").alias("nodes"))
+
+
+# matrices and workloads
+
+_FULL = f"""x as (select unnest({_LIST}) experiment_id, generate_subscripts({_LIST}, 1) i), s as (select unnest(['mem', 'surreal-mem', 'surreal-rocksdb', 'sqlite']) storage), t as (select 'off' telemetry union all select 'console'),
+ m as (select experiment_id, i, storage, telemetry, case when experiment_id = 'bm-c5' then 'shared-handle' else 'isolated-lab' end topology from x, s, t where telemetry = 'off' or experiment_id in ('bm-c0', 'bm-l1'))"""
+_RUN = ["experiment_id", "storage", "telemetry", "topology"]
+
+
+@query("matrix_full", f"with {_FULL} select experiment_id, storage, telemetry, topology from m")
+def _(spark, d):
+    return matrix.full(spark).select(_RUN)
+
+
+@query("matrix_filters", f"with {_FULL} select experiment_id, storage, telemetry, topology from m where storage in ('mem', 'sqlite') and experiment_id <> 'bm-c6' and i >= 5 and topology = 'isolated-lab'")
+def _(spark, d):
+    return matrix.filtered(matrix.full(spark), ["mem", "sqlite"], ["bm-c6"], "bm-c4", "isolated-lab").select(_RUN)
+
+
+@query("matrix_subset_native", "with x as (select unnest(['bm-l0', 'bm-l1', 'bm-l2', 'bm-l3', 'bm-m2', 'bm-p1', 'bm-p2', 'bm-m1', 'bm-m2', 'bm-m4']) experiment_id) select experiment_id, storage, 'off' telemetry, 'isolated-lab' topology from x, (select unnest(['scylla', 'tikv-raw']) storage)")
+def _(spark, d):
+    return matrix.subset(spark, "native-topology").select(_RUN)
+
+
+@query("matrix_skips", f"with {_FULL} select experiment_id, storage, telemetry, null::varchar status from m union all select experiment_id, 'postgres', telemetry, case when experiment_id = 'bm-c5' then 'skipped_unsupported' else 'skipped_no_remote' end from m where storage = 'mem'")
+def _(spark, d):
+    return matrix.skip_status(matrix.full(spark, postgres=True), remote=False).select("experiment_id", "storage", "telemetry", "status")
+
+
+@query("bench_records", "select range::bigint ordinal, 'partition_' || (range % 8) as key, 256::bigint bytes from range(5000)")
+def _(spark, d):
+    r = workload.records(spark, 5000, "bm-l2", workload.load_key(F.col("id"), 8))
+    return r.select("ordinal", "key", F.octet_length("payload").cast("long").alias("bytes"))
+
+
+@query("workload_streams", "select range::bigint w, 'worker_' || range worker, 'partition_' || (16 + range % 4) as part, 'bm-m5-t' || (2 + range % 3) topic from range(64)")
+def _(spark, d):
+    w = F.col("id")
+    return spark.range(64).select(w.alias("w"), workload.worker_key(w).alias("worker"), workload.partition_key(w, 4, 16).alias("part"), workload.worker_topic(w, 3, 2).alias("topic"))
+
+
+@query("orders_by_priority", """with b as (select o_orderkey ordinal, o_orderpriority topic, o_custkey::varchar as key from orders), e as (select *, row_number() over (partition by topic, key order by ordinal)::bigint seq from b) select topic, count(*)::bigint n, count(distinct key)::bigint streams, max(seq) longest from e group by topic""")
+def _(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("ordinal"), F.lit("memory").alias("dest_kind"), F.lit("default").alias("dest_logical"), F.col("o_orderpriority").alias("topic"), F.col("o_custkey").cast("string").alias("key"))
+    e = log.allocate(keyed(o))
+    return e.groupBy("topic").agg(F.count("*").alias("n"), F.countDistinct("key").alias("streams"), F.max("seq").alias("longest"))
+
+
+@query("conversation_turns", "select conv_id, turn, row_number() over (partition by conv_id order by turn)::bigint seq, role from conversations")
+def _(spark, d):
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    return c.select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("seq"), "role")
+
+
+@query("bulk_append_lineitem", """with b as (select l_orderkey * 8 + l_linenumber ordinal, l_returnflag topic, l_suppkey::varchar as key from lineitem) select topic, key, count(*)::bigint head from b group by all""")
+def _(spark, d):
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ordinal"), F.lit("memory").alias("dest_kind"), F.lit("default").alias("dest_logical"), F.col("l_returnflag").alias("topic"), F.col("l_suppkey").cast("string").alias("key"))
+    return log.heads(log.allocate(keyed(rows))).select("topic", "key", F.col("next_seq").alias("head"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
