@@ -6,8 +6,10 @@ which ones the node's path decides; the tokens there lead to its children. Docum
 groups cost no quadratic work, in this order:
 
 1. each with the most central document of its leaf, then with another one drawn at random; what links joins components;
-2. in leaves that still hold several components, tokens that no other open document has bound what a pair can share; pairs of different
-   components that can still link are all compared. Leaves with many such documents branch on before that.
+2. in leaves that still hold several components, all pairs of different components, block against block; what is in the leaf's largest
+   component isn't compared with itself. Very large leaves branch on before that.
+
+Before a pair's full sets are compared, finer sketches of both must agree in as many places as all but one linked pair in 200,000 does.
 
 A pair at the threshold meets in some leaf with a probability of over 0.99999, likelier above it. Links are confirmed on full sets, and
 components are taken over confirmed links in Spark. There is no cap on candidates, partners or group sizes.
@@ -34,12 +36,16 @@ COORDINATES = 64
 TREES = 16
 #: Children that a node has for each document, by level; their product times TREES is a document's number of leaves.
 FAN = (1, 2, 1)
-#: Open documents in a leaf from which it branches on, with so many children a level, for so many levels at most.
-SMALL, DEEP_FAN, DEEP_LEVELS = 64, 3, 2
+#: Documents in an open leaf from which it branches on, with so many children a level, for so many levels at most.
+LARGE, DEEP_FAN, DEEP_LEVELS = 4096, 3, 2
+#: Documents in a block of an open leaf.
+BLOCK = 256
+#: Places of a sketch, a byte each, and the standard errors that a linked pair may fall short by.
+PLACES, ERRORS = 256, 4.5
 
 _rng = np.random.default_rng(58)
 _WORD = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-_XOR, _MUL = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64), _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
+_XOR, _MUL = _rng.integers(0, 1 << 63, PLACES, dtype=np.uint64), _rng.integers(1, 1 << 63, PLACES, dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -61,14 +67,20 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.n
             yield h[:0]
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """The smallest tokens under COORDINATES hash functions, 32 bits of each; long sets go in pieces."""
-    least = np.full(COORDINATES, ~np.uint64(0))
-    for i in range(0, len(s), 8192):
-        least = np.minimum(least, ((s[i : i + 8192, None] ^ _XOR) * _MUL).min(axis=0))
+def signature(s: np.ndarray, n: int = COORDINATES) -> np.ndarray:
+    """The smallest tokens under n hash functions, 32 bits of each; long sets go in pieces."""
+    least = np.full(n, ~np.uint64(0))
+    for i in range(0, len(s), 2048):
+        least = np.minimum(least, ((s[i : i + 2048, None] ^ _XOR[:n]) * _MUL[:n]).min(axis=0))
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+def _least(percent: int) -> int:
+    """Places in which the sketches of a linked pair agree at least."""
+    p = percent / 100
+    return int(np.floor(PLACES * (p - ERRORS * np.sqrt(p * (1 - p) / PLACES))))
+
+
 def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in W.parts(batch):
@@ -94,6 +106,10 @@ def _signs(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint32).reshape(len(col), COORDINATES)
 
 
+def _sketches(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), PLACES)
+
+
 def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         signs = _signs(b.column("sig"))
@@ -122,12 +138,38 @@ def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
         yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _sketched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in W.parts(batch):
-            sets = list(shingle_sets(*W.buffers(b.column("text")), k))
-            ids = np.repeat(np.asarray(b.column("id")), [len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(W.signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64))], names=["id", "token"])
+            found = [(signature(s, PLACES) & np.uint32(255)).astype(np.uint8).tobytes() for s in shingle_sets(*W.buffers(b.column("text")), k)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], names=[*b.schema.names, "sketch"])
+
+
+def _likely(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            ok = (_sketches(b.column("sketch_a")) == _sketches(b.column("sketch_b"))).sum(axis=1) >= least
+            yield b.select(["a", "b"]).filter(pa.array(ok))
+
+
+def _unpack(col: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows = col[i].values
+    return np.asarray(rows.field("id")), np.asarray(rows.field("label")), _sketches(rows.field("sketch"))
+
+
+def _compare(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components, from two blocks of a leaf or within one, whose sketches agree enough."""
+    for b in batches:
+        out = [np.zeros((0, 2), np.int64)]
+        for i in range(b.num_rows):
+            ids, labels, x = _unpack(b.column("left"), i)
+            others, their, y = (ids, labels, x) if b.column("right")[i].as_py() is None else _unpack(b.column("right"), i)
+            for at in range(0, len(ids), 64):
+                agree = (x[at : at + 64, None] == y[None]).sum(axis=2, dtype=np.int16)
+                p, q = np.nonzero((agree >= least) & (labels[at : at + 64, None] != their[None]))
+                out.append(np.sort(np.column_stack([ids[at + p], others[q]]), axis=1))
+        pairs = np.unique(np.concatenate(out), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def classes(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
@@ -145,7 +187,14 @@ def classes(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
 
     ids = rank.select("id")
     texts = bloom.sieve(docs.select(F.col("doc_id").alias("id"), "text").where("id is not null"), "id", bloom.build(ids, "id"))
-    texts = written(texts.join(reps.select("id", "n"), "id", "left_semi").join(ids, "id", "left_semi").distinct(), "op5-texts")
+    texts = texts.join(ids, "id", "left_semi").select("id", "text")
+    texts = written(texts.mapInArrow(lambda it: _sketched(it, k), "id long, text string, sketch binary"), "op5-texts")
+    least = _least(percent)
+    sketches = texts.select("id", "sketch")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        a, b = (sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(lambda it: _likely(it, least), "a long, b long").distinct()
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         a, b = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
@@ -156,33 +205,41 @@ def classes(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
         now = open_.withColumn("label", F.col("id")) if labels is None else open_.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         pivots = now.groupBy("node").agg(F.max_by("id", order).alias("pivot"), F.max_by("label", order).alias("with"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node", "pivot", "with")
         pairs = now.join(pivots, "node").where("label <> with").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).where("a < b").distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"op5-pairs{turn}")
+        pairs = written(likely(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")), f"op5-pairs{turn}")
         found = confirmed(pairs, f"op5-links{turn}")
         tried, links = (pairs, found) if tried is None else (tried.unionByName(pairs), links.unionByName(found))
         labels = written(components(links).select("id", F.col("component").alias("label")), f"op5-labels{turn}")
 
-    # leaves that still hold several components, and what their documents can share at all
+    # leaves that still hold several components
     now = open_.drop("centre").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    several = now.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node")
-    now = written(now.join(several, "node", "left_semi"), "op5-open")
-    ids = now.select("id").distinct()
-    tokens = texts.join(ids, "id", "left_semi").mapInArrow(lambda it: _tokens(it, k), "id long, token long")
-    common = tokens.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("token")
-    can = tokens.join(common, "token", "left_semi").groupBy("id").agg(F.count("*").alias("can")).join(reps.groupBy("id").agg(F.min("n").alias("n"), F.first("sig").alias("sig")), "id").where(f"100 * can >= {percent} * n")
-    now = written(now.join(can, "id").select("node", "id", "label", "n", "can", "sig"), "op5-left")
-    done = now.limit(0)
-    for _ in range(DEEP_LEVELS):
-        sizes = now.groupBy("node").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node", "m")
-        sized = written(now.join(sizes, "node"), "op5-sized")
-        done = done.unionByName(sized.where(f"m <= {SMALL}").drop("m"))
-        large = sized.where(f"m > {SMALL}").drop("m")
+    signs = reps.groupBy("id").agg(F.first("sig").alias("sig"))
+
+    def sized(rows: DataFrame) -> DataFrame:
+        each = rows.groupBy("node", "label").agg(F.count("*").alias("n"))
+        leaf = each.groupBy("node").agg(F.sum("n").alias("m"), F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+        return rows.join(leaf, "node")
+
+    now = written(sized(now), "op5-open")
+    ready = now.where(f"m <= {LARGE}")
+    for level in range(DEEP_LEVELS):
+        large = now.where(f"m > {LARGE}").select("node", "id", "label")
         if large.isEmpty():
-            now = large
             break
-        now = large.mapInArrow(_deeper, large.schema)
-    side = lambda c: done.unionByName(now).select("node", F.col("id").alias(c), F.col("label").alias(f"l{c}"), F.col("n").alias(f"n{c}"), F.col("can").alias(f"c{c}"))
-    fits = F.expr(f"la < lb and {100 + percent} * least(ca, cb) >= {percent} * (na + nb)")
-    pairs = side("a").join(side("b"), "node").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        deep = large.join(signs, "id").select("node", "id", "label", "sig")
+        now = written(sized(deep.mapInArrow(_deeper, deep.schema).drop("sig")).select(ready.columns), f"op5-open{level}")
+        ready = ready.unionByName(now if level == DEEP_LEVELS - 1 else now.where(f"m <= {LARGE}"))
+    # blocks of the largest component come after the others; small leaves are one block
+    n = F.ceil(F.col("m") / BLOCK)
+    block = F.when(n == 1, 0).otherwise(F.pmod(F.xxhash64("id"), n) + F.when(F.col("label") == F.col("main"), n).otherwise(0))
+    packed = ready.join(sketches, "id").select("node", n.alias("n"), block.alias("block"), F.struct("id", "label", "sketch").alias("row"))
+    packed = packed.groupBy("node", "n", "block").agg(F.collect_list("row").alias("rows"))
+    packed = written(packed, "op5-blocks")
+    rows = packed.schema["rows"].dataType
+    single = packed.where("n = 1").select(F.col("rows").alias("left"), F.lit(None).cast(rows).alias("right"))
+    several = packed.where("n > 1")
+    other = several.select("node", F.col("block").alias("to"), F.col("rows").alias("right"))
+    several = several.where("block < n").join(other, "node").where("to >= block").select(F.col("rows").alias("left"), "right")
+    pairs = single.unionByName(several).mapInArrow(lambda it: _compare(it, least), "a long, b long").distinct()
     found = confirmed(written(pairs.join(tried, ["a", "b"], "left_anti"), "op5-pairs"), "op5-links")
     if not found.isEmpty():
         labels = components(links.unionByName(found)).select("id", F.col("component").alias("label"))
