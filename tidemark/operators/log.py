@@ -16,11 +16,17 @@ MAX_LIMIT = 10_000
 MAX_ATTEMPT = 4_294_967_295
 
 
+INVALID = "a record has no topic, no id or an attempt out of range"
+
+
+def invalid() -> Column:
+    return (F.coalesce("topic", F.lit("")) == "") | F.col("event_id").isNull() | ~F.col("attempt").between(0, MAX_ATTEMPT)
+
+
 def validate(batch: DataFrame) -> None:
     """An empty topic, a missing id or an attempt out of range; an empty batch is valid."""
-    bad = batch.where((F.coalesce("topic", F.lit("")) == "") | F.col("event_id").isNull() | ~F.col("attempt").between(0, MAX_ATTEMPT)).take(1)
-    if bad:
-        raise errors.Validation("a record has no topic, no id or an attempt out of range")
+    if batch.where(invalid()).take(1):
+        raise errors.Validation(INVALID)
 
 
 def policy(topic: Column, default: str = "lwt", by_topic: dict[str, str] | None = None) -> Column:

@@ -15,6 +15,8 @@ _record = [
 ]
 BATCH = T.StructType([T.StructField("ordinal", T.LongType(), False), *_stream, *_record])
 EVENT = T.StructType([*_stream, T.StructField("seq", T.LongType(), False), *_record])
+#: Events as stored: an append's folder also holds the repeated records of its batch, which are not events.
+STORED = T.StructType([*EVENT.fields, T.StructField("ordinal", T.LongType()), T.StructField("is_new", T.BooleanType())])
 HEAD = T.StructType([*_stream, T.StructField("next_seq", T.LongType(), False)])
 CHECKPOINT = T.StructType([T.StructField("subscription", T.StringType(), False), *_stream, T.StructField("seq", T.LongType(), False)])
 TRUNCATION = T.StructType([*_stream, T.StructField("bound", T.LongType(), False), T.StructField("head", T.LongType(), False), T.StructField("version", T.LongType(), False)])

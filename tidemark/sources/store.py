@@ -75,7 +75,7 @@ class LogStore:
     # state
 
     def _all(self, commits: list) -> DataFrame:
-        return self._read([c.events for c in commits], schemas.EVENT)
+        return self._read([c.events for c in commits], schemas.STORED).where("is_new").select(schemas.EVENT.names)
 
     def _ids(self, commits: list) -> DataFrame:
         """All ids ever stored: those of events, and those that compaction kept of removed ones."""
@@ -107,10 +107,13 @@ class LogStore:
 
     def append(self, batch: DataFrame, source: str | None = None) -> DataFrame:
         """ordinal and seq of each record, in any order. ``source`` names a micro-batch: if it is there already, nothing is written again."""
-        if batch.isEmpty():
-            return self.spark.createDataFrame([], "ordinal long, seq long")
         batch = batch.withColumns({"dest_kind": F.lit(self.kind), "dest_logical": F.lit(self.logical)})
-        log.validate(batch)
+        streams = schemas.normal(batch).withColumn("_bad", log.invalid()).groupBy("topic", "key").agg(F.count("*").alias("n"), F.max("_bad").alias("bad"))
+        found = streams.agg(F.max("n").alias("largest"), F.max("bad").alias("bad")).first()
+        if not found.largest:
+            return self.spark.createDataFrame([], "ordinal long, seq long")
+        if found.bad:
+            raise errors.Validation(log.INVALID)
 
         def attempt(version):
             commits = self._commits(version)
@@ -119,13 +122,10 @@ class LogStore:
                 ids = keyed(self._ids(commits)).groupBy(*JOIN, "event_id").agg(F.min("seq").alias("seq"))
                 return keyed(schemas.normal(batch)).join(ids, [*JOIN, "event_id"], "left").select("ordinal", "seq")
             mode = log.policy(F.col("topic"), self.default_mode, self.by_topic)
-            largest = schemas.normal(batch).groupBy("topic", "key").count().agg(F.max("count")).first()[0]
-            planned = log.plan_append(batch, self._ids(commits), self._heads(commits), mode, buckets=1 + largest // HOT_STREAM)
-            planned.write.parquet(f"{self.path}/planned/{name}")
-            planned = self.spark.read.parquet(f"{self.path}/planned/{name}")
-            new = planned.where("is_new").select(schemas.EVENT.names)
-            new.repartition("topic", "key").sortWithinPartitions("topic", "key", "seq").write.parquet(f"{self.path}/events/{name}")
-            log.heads(new).write.parquet(f"{self.path}/heads/{name}")
+            planned = log.plan_append(batch, self._ids(commits), self._heads(commits), mode, buckets=1 + found.largest // HOT_STREAM)
+            planned.select(schemas.STORED.names).repartition("topic", "key").sortWithinPartitions("topic", "key", "seq").write.parquet(f"{self.path}/events/{name}")
+            planned = self._read([f"events/{name}"], schemas.STORED)
+            log.heads(planned.where("is_new")).coalesce(1 + found.largest // HOT_STREAM).write.parquet(f"{self.path}/heads/{name}")
             self._commit(version + 1, kind="append", events=f"events/{name}", heads=f"heads/{name}", source=source)
             return planned.select("ordinal", "seq")
 
@@ -187,7 +187,8 @@ class LogStore:
             name = uuid.uuid4().hex
             all_, gone = self._all(commits), self._truncations(commits)
             live = cursor.visible(all_, gone)
-            live.repartition("topic", "key").sortWithinPartitions("topic", "key", "seq").write.parquet(f"{self.path}/events/{name}")
+            stored = live.withColumns({"ordinal": F.lit(None).cast("long"), "is_new": F.lit(True)}).select(schemas.STORED.names)
+            stored.repartition("topic", "key").sortWithinPartitions("topic", "key", "seq").write.parquet(f"{self.path}/events/{name}")
             cols = [*JOIN, "event_id"]
             lost = keyed(self._ids(commits)).join(keyed(live).select(cols), cols, "left_anti").select(*STREAM, "event_id", "seq")
             lost.write.parquet(f"{self.path}/ids/{name}")

@@ -31,7 +31,7 @@ def route(stream: DataFrame, destination, stores: dict[str, LogStore], checkpoin
 def tail(spark: SparkSession, store: LogStore) -> DataFrame:
     """A store's new rows as they are committed. Files are listed by Spark; each append is one folder, written before its commit, so a row may be seen
     shortly before a reader of the store sees it."""
-    return spark.readStream.schema(schemas.EVENT).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{store.path}/events")
+    return spark.readStream.schema(schemas.STORED).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{store.path}/events").where("is_new")
 
 
 def deduped(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
