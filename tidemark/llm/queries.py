@@ -1,5 +1,6 @@
 """The queries of this subpackage: one opN_<name> for each operator, and the pipeline."""
 
+from tidemark.llm import sql
 from tidemark.llm.decontam import op6_suffix_decontam
 from tidemark.llm.link_graph import op10_link_graph
 from tidemark.llm.mixing import op4_raking, op4_sql
@@ -32,4 +33,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_raking": op4_sql()}
+    return {"op4_raking": op4_sql(), "op5_chosen_path": sql.op5_sql(), "op6_suffix_decontam": sql.op6_sql(), "op10_link_graph": sql.op10_sql()}
