@@ -20,9 +20,9 @@ def test_raking_meets_marginals(spark):
     cells = spark.createDataFrame([(*r, float(r[3])) for r in rows], "_source string, _lang string, _topic string, t long, w double")
     want = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"en": 0.6, "de": 0.4}, "topic": {"x": 0.6, "y": 0.4}}
     targets = {d: spark.createDataFrame(list(v.items()), f"_{d} string, share double") for d, v in want.items()}
-    got = M.rake(cells, targets, 40)
+    got = M.rake(cells, targets, 12)
     for d, v in want.items():
-        assert {r[0]: r[1] for r in got.groupBy(f"_{d}").agg(F.sum("w")).collect()} == pytest.approx(v, abs=1e-3)
+        assert {r[0]: r[1] for r in got.groupBy(f"_{d}").agg(F.sum("w")).collect()} == pytest.approx(v, abs=2e-2)
 
 
 def test_budget_and_draws(spark):

@@ -40,15 +40,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """cells has the columns _<dimension>, t (tokens) and w (start weights, 0 where t is); targets: by dimension, _<dimension> and share. Returns cells with raked w, summing to 1."""
-    for i in range(rounds):
+    """cells has the columns _<dimension>, t (tokens) and w (start weights, 0 where t is); targets: by dimension, _<dimension> and share. Returns cells with raked w, summing to 1.
+
+    Each step is the same small plan over the last step's table, so the driver keeps no growing plans and compiles them once. Sums are
+    merged back rather than broadcast: there are as many of them as sources."""
+    for d in DIMENSIONS:
+        cells = cells.join(targets[d].select(f"_{d}", F.col("share").alias(f"_share_{d}")).hint("merge"), f"_{d}")
+    names = [*(f"_{d}" for d in DIMENSIONS), "t", *(f"_share_{d}" for d in DIMENSIONS)]
+    cells = written(cells.select(*names, "w"), "op4-cells")
+    for _ in range(rounds):
         for d in DIMENSIONS:
-            sums = cells.groupBy(f"_{d}").agg(F.sum("w").alias("_sum"))
-            factor = sums.join(targets[d], f"_{d}").select(f"_{d}", F.when(F.col("_sum") > 0, F.col("share") / F.col("_sum")).otherwise(0.0).alias("_f"))
-            cells = cells.join(factor, f"_{d}").withColumn("w", F.col("w") * F.col("_f")).drop("_f")
-        if i % 2:  # a plan of a few rounds stays small
-            cells = written(cells, "op4-cells")
-    return cells
+            sums = cells.groupBy(f"_{d}", f"_share_{d}").agg(F.sum("w").alias("_sum"))
+            factor = sums.select(f"_{d}", F.when(F.col("_sum") > 0, F.col(f"_share_{d}") / F.col("_sum")).otherwise(0.0).alias("_f"))
+            cells = written(cells.join(factor.hint("merge"), f"_{d}").select(*names, (F.col("w") * F.col("_f")).alias("w")), "op4-cells")
+    return cells.drop(*(f"_share_{d}" for d in DIMENSIONS))
 
 
 def tempered(cells: DataFrame, temper: float = TEMPER) -> dict[str, DataFrame]:
