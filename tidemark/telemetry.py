@@ -86,9 +86,9 @@ class Instrumented:
 
     def append(self, batch, source=None):
         names = [r.topic for r in batch.select("topic").distinct().limit(2).collect()]
-        out, s = self._call("append", lambda: self.store.append(batch, source).collect())
-        self.sink.on_append(names[0] if len(names) == 1 else "*", len(out), s)
-        return self.store.spark.createDataFrame(out, "ordinal long, seq long")
+        out, s = self._call("append", lambda: self.store.append(batch, source))
+        self.sink.on_append(names[0] if len(names) == 1 else "*", out.count(), s)
+        return out
 
     def read_from(self, topic, key, after, limit):
         out, s = self._call("read_from", lambda: self.store.read_from(topic, key, after, limit).collect())
