@@ -29,7 +29,7 @@ from tidemark.llm.shared import written
 from tidemark.llm.trie import CODEBOOK, Trie
 
 KAPPA = 30.0
-BATCH_TOKENS = 2 << 20
+BATCH_TOKENS = 1 << 20
 SHARD_TOKENS = 2 << 20
 HOT = 0.001
 #: The documents whose crc32 of the id leaves this remainder are held out.
@@ -130,7 +130,8 @@ ASKED = "shard int, batch long, words binary, word_n binary, home binary, common
 
 def _ask(batches: Iterator[pa.RecordBatch], bits: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for row in b.to_pylist():
+        for i in range(b.num_rows):
+            (row,) = b.slice(i, 1).to_pylist()
             words, places, sizes = np.frombuffer(row["words"], np.uint64), _unzip(row["places"], np.uint32).astype(np.int64), _unzip(row["sizes"], np.int32).astype(np.int64)
             train = np.repeat(np.unpackbits(np.frombuffer(row["train"], np.uint8), count=len(sizes)).astype(bool), sizes)
             edges = (np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.uint64)
@@ -211,7 +212,8 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score
 
 def _score(batch: pa.Table, answers: pa.Table, hot: np.ndarray, shards: int, n: int, v: int, starts: int, kappa: float) -> pa.Table:
     out = []
-    for row in batch.to_pylist():
+    for i in range(batch.num_rows):
+        (row,) = batch.slice(i, 1).to_pylist()
         places, sizes = _unzip(row["places"], np.uint32).astype(np.int64), _unzip(row["sizes"], np.int32).astype(np.int64)
         counts: list = [np.zeros(0, np.uint64)] * shards
         codes: list = [np.zeros(0, np.uint8)] * shards
