@@ -6,10 +6,11 @@ which ones the node's path decides; the tokens there lead to its children. Docum
 groups cost no quadratic work, in this order:
 
 1. each with the most central document of its leaf, then with another one drawn at random; what links joins components;
-2. in leaves that still hold several components, all pairs of different components, block against block; what is in the leaf's largest
+2. in leaves that still hold several components, all pairs of different components: in tiny leaves by sketches, in larger ones block
+   against block by the overlap of their token sets, so that only pairs that link leave the task. What is in the leaf's largest
    component isn't compared with itself. Very large leaves branch on before that.
 
-Before a pair's full sets are compared, finer sketches of both must agree in as many places as all but one linked pair in 200,000 does.
+Sketches of a pair must agree in as many places as all but one linked pair in 200,000 does, before its full sets are compared.
 
 A pair at the threshold meets in some leaf with a probability of over 0.99999, likelier above it. Links are confirmed on full sets, and
 components are taken over confirmed links in Spark. There is no cap on candidates, partners or group sizes.
@@ -38,8 +39,10 @@ TREES = 16
 FAN = (1, 2, 1)
 #: Documents in an open leaf from which it branches on, with so many children a level, for so many levels at most.
 LARGE, DEEP_FAN, DEEP_LEVELS = 4096, 3, 2
-#: Documents in a block of an open leaf.
-BLOCK = 256
+#: Documents in a leaf that counts as tiny, and in a block of a larger one; tokens that a block's overlaps are counted over at once.
+TINY, BLOCK, COLUMNS = 16, 256, 4096
+#: Tokens in blocks have 32 bits, so a set can look smaller or a pair closer by a token or two; the full sets decide.
+SLACK = 2
 #: Places of a sketch, a byte each, and the standard errors that a linked pair may fall short by.
 PLACES, ERRORS = 256, 4.5
 
@@ -141,8 +144,10 @@ def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
 def _sketched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in W.parts(batch):
-            found = [(signature(s, PLACES) & np.uint32(255)).astype(np.uint8).tobytes() for s in shingle_sets(*W.buffers(b.column("text")), k)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], names=[*b.schema.names, "sketch"])
+            sets = list(shingle_sets(*W.buffers(b.column("text")), k))
+            sketches = [(signature(s, PLACES) & np.uint32(255)).astype(np.uint8).tobytes() for s in sets]
+            tokens = [np.unique(s.astype(np.uint32)).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sketches, pa.binary()), pa.array(tokens, pa.binary())], names=[*b.schema.names, "sketch", "tokens"])
 
 
 def _likely(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -152,24 +157,56 @@ def _likely(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
             yield b.select(["a", "b"]).filter(pa.array(ok))
 
 
-def _unpack(col: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = col[i].values
-    return np.asarray(rows.field("id")), np.asarray(rows.field("label")), _sketches(rows.field("sketch"))
+def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
 
+def _compare_tiny(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components in a leaf whose sketches agree enough."""
+    for b in batches:
+        out = []
+        for leaf in b.column("rows"):
+            rows = leaf.values
+            ids, labels, x = np.asarray(rows.field("id")), np.asarray(rows.field("label")), _sketches(rows.field("data"))
+            agree = (x[:, None] == x[None]).sum(axis=2, dtype=np.int16)
+            p, q = np.nonzero((agree >= least) & (labels[:, None] != labels[None]))
+            out.append(np.sort(np.column_stack([ids[p], ids[q]]), axis=1))
+        yield _pairs(out)
 
-def _compare(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components, from two blocks of a leaf or within one, whose sketches agree enough."""
+
+def _block(col: pa.Array, i: int) -> tuple[np.ndarray, ...]:
+    rows = col[i].values
+    data = rows.field("data").to_pylist()
+    size = np.array([len(x) // 4 for x in data])
+    return np.asarray(rows.field("id")), np.asarray(rows.field("label")), size, np.frombuffer(b"".join(data), np.uint32), np.repeat(np.arange(len(data)), size)
+
+
+def _overlaps(x: tuple, y: tuple) -> np.ndarray:
+    """How many tokens each document of one block has in common with each of the other, a range of shared tokens at a time."""
+    shared = np.intersect1d(x[3], y[3])
+    out = np.zeros((len(x[0]), len(y[0])), np.float32)
+    for at in range(0, len(shared), COLUMNS):
+        part = shared[at : at + COLUMNS]
+        sides = []
+        for _, _, size, tokens, owner in (x, y):
+            place = np.minimum(np.searchsorted(part, tokens), len(part) - 1)
+            hit = part[place] == tokens
+            m = np.zeros((len(size), len(part)), np.float32)
+            m[owner[hit], place[hit]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components, from two blocks of a leaf, whose overlap is large enough."""
     for b in batches:
-        out = [np.zeros((0, 2), np.int64)]
         for i in range(b.num_rows):
-            ids, labels, x = _unpack(b.column("left"), i)
-            others, their, y = (ids, labels, x) if b.column("right")[i].as_py() is None else _unpack(b.column("right"), i)
-            for at in range(0, len(ids), 64):
-                agree = (x[at : at + 64, None] == y[None]).sum(axis=2, dtype=np.int16)
-                p, q = np.nonzero((agree >= least) & (labels[at : at + 64, None] != their[None]))
-                out.append(np.sort(np.column_stack([ids[at + p], others[q]]), axis=1))
-        pairs = np.unique(np.concatenate(out), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            x, y = _block(b.column("left"), i), _block(b.column("right"), i)
+            both = _overlaps(x, y) + SLACK
+            p, q = np.nonzero((100 * both >= percent * (x[2][:, None] + y[2][None] - both)) & (x[1][:, None] != y[1][None]))
+            yield _pairs([np.sort(np.column_stack([x[0][p], y[0][q]]), axis=1)])
 
 
 def classes(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
@@ -188,7 +225,7 @@ def classes(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
     ids = rank.select("id")
     texts = bloom.sieve(docs.select(F.col("doc_id").alias("id"), "text").where("id is not null"), "id", bloom.build(ids, "id"))
     texts = texts.join(ids, "id", "left_semi").select("id", "text")
-    texts = written(texts.mapInArrow(lambda it: _sketched(it, k), "id long, text string, sketch binary"), "op5-texts")
+    texts = written(texts.mapInArrow(lambda it: _sketched(it, k), "id long, text string, sketch binary, tokens binary"), "op5-texts")
     least = _least(percent)
     sketches = texts.select("id", "sketch")
 
@@ -216,7 +253,7 @@ def classes(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
 
     def sized(rows: DataFrame) -> DataFrame:
         each = rows.groupBy("node", "label").agg(F.count("*").alias("n"))
-        leaf = each.groupBy("node").agg(F.sum("n").alias("m"), F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+        leaf = each.groupBy("node").agg(F.sum("n").alias("m"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
         return rows.join(leaf, "node")
 
     now = written(sized(now), "op5-open")
@@ -228,18 +265,17 @@ def classes(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
         deep = large.join(signs, "id").select("node", "id", "label", "sig")
         now = written(sized(deep.mapInArrow(_deeper, deep.schema).drop("sig")).select(ready.columns), f"op5-open{level}")
         ready = ready.unionByName(now if level == DEEP_LEVELS - 1 else now.where(f"m <= {LARGE}"))
-    # blocks of the largest component come after the others; small leaves are one block
-    n = F.ceil(F.col("m") / BLOCK)
-    block = F.when(n == 1, 0).otherwise(F.pmod(F.xxhash64("id"), n) + F.when(F.col("label") == F.col("main"), n).otherwise(0))
-    packed = ready.join(sketches, "id").select("node", n.alias("n"), block.alias("block"), F.struct("id", "label", "sketch").alias("row"))
-    packed = packed.groupBy("node", "n", "block").agg(F.collect_list("row").alias("rows"))
-    packed = written(packed, "op5-blocks")
-    rows = packed.schema["rows"].dataType
-    single = packed.where("n = 1").select(F.col("rows").alias("left"), F.lit(None).cast(rows).alias("right"))
-    several = packed.where("n > 1")
-    other = several.select("node", F.col("block").alias("to"), F.col("rows").alias("right"))
-    several = several.where("block < n").join(other, "node").where("to >= block").select(F.col("rows").alias("left"), "right")
-    pairs = single.unionByName(several).mapInArrow(lambda it: _compare(it, least), "a long, b long").distinct()
+    data = lambda c: F.struct("id", "label", F.col(c).alias("data")).alias("row")
+    tiny = ready.where(f"m <= {TINY}").join(sketches, "id").select("node", data("sketch")).groupBy("node").agg(F.collect_list("row").alias("rows"))
+    # blocks of the largest component come after the others
+    others, main = (F.ceil(c / BLOCK) for c in (F.col("m") - F.col("n_main"), F.col("n_main")))
+    block = F.when(F.col("label") == F.col("main"), others + F.pmod(F.xxhash64("id"), main)).otherwise(F.pmod(F.xxhash64("id"), others))
+    packed = ready.where(f"m > {TINY}").join(texts.select("id", "tokens"), "id").select("node", others.alias("others"), block.alias("block"), data("tokens"))
+    packed = written(packed.groupBy("node", "others", "block").agg(F.collect_list("row").alias("rows")), "op5-blocks")
+    right = packed.select("node", F.col("block").alias("to"), F.col("rows").alias("right"))
+    several = packed.where("block < others").join(right, "node").where("to >= block").select(F.col("rows").alias("left"), "right")
+    near = tiny.select("rows").mapInArrow(lambda it: _compare_tiny(it, least), "a long, b long")
+    pairs = near.unionByName(several.mapInArrow(lambda it: _compare(it, percent), "a long, b long")).distinct()
     found = confirmed(written(pairs.join(tried, ["a", "b"], "left_anti"), "op5-pairs"), "op5-links")
     if not found.isEmpty():
         labels = components(links.unionByName(found)).select("id", F.col("component").alias("label"))
