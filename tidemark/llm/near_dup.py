@@ -204,8 +204,16 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
     for b in batches:
         for i in range(b.num_rows):
             x, y = _block(b.column("left"), i), _block(b.column("right"), i)
-            both = _overlaps(x, y) + SLACK
-            p, q = np.nonzero((100 * both >= percent * (x[2][:, None] + y[2][None] - both)) & (x[1][:, None] != y[1][None]))
+            both, sizes = _overlaps(x, y), x[2][:, None] + y[2][None]
+            passes = lambda o: (100 * o >= percent * (sizes - o)) & (x[1][:, None] != y[1][None])  # noqa: B023, E731
+            p, q = np.nonzero(passes(both + SLACK))
+            # one sure link joins a document to another component; unsure ones all go on unless there is one
+            sure = passes(both - SLACK)[p, q]
+            key = np.column_stack([p, y[1][q]])
+            first = np.unique(key[sure], axis=0, return_index=True)[1]
+            joined = {*map(tuple, key[sure][first])}
+            unsure = np.array([tuple(k) not in joined for k in key[~sure]], bool)
+            p, q = (np.concatenate([v[sure][first], v[~sure][unsure]]) for v in (p, q))
             yield _pairs([np.sort(np.column_stack([x[0][p], y[0][q]]), axis=1)])
 
 
