@@ -69,3 +69,36 @@ def test_edge_cases(spark):
     got = [(r.doc_id, r.n_removed) for r in S.dedup(d).collect()]
     assert (5, 0) in got and (None, 3) in got and (7, 6) in got and (7, 0) in got and (8, 0) in got and (4, 0) in got
     assert S.op3_sentence_spans(d.limit(0)).count() == 0
+
+
+def test_passages_of_few_sentences(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    words = lambda n: [word() for _ in range(n)]
+    rows, passages = [], []
+    for n in range(51, 61):
+        one, two = words(n), words(n)
+        one[-1] += "."
+        two[n // 2] += "."
+        two[-1] += "."
+        inner = words(n)
+        for passage, ends in ((one, "."), (two, "."), (inner, "")):
+            passages.append(passage)
+            rows += [(len(rows) + j, f"{' '.join(words(20))}{ends} {' '.join(passage)} {' '.join(words(20))}.") for j in range(2)]
+    got = run(spark, rows)
+    for i, passage in enumerate(passages):
+        (a, old), (b, new) = rows[2 * i : 2 * i + 2]
+        assert got[a][1:] == (0, old)
+        left = got[b][2].split()
+        stay = [w in left for w in passage]
+        if i % 3 < 2:
+            assert not any(stay), (i, stay)
+        assert not any(stay[S.WINDOW + S.FEW : -S.WINDOW - S.FEW]) and got[b][1] > 0
+        assert [w for w in new.split() if w not in passage] == [w for w in left if w not in passage]
+
+
+def test_one_repeated_word(spark):
+    rows = [(1, "no " * 1000), (2, "Start of it. " + "no " * 1000 + "and its end.")]
+    got = run(spark, rows)
+    assert S.GRAM <= got[1][2].count("no") < 60 and got[2][2].startswith("Start of it. ") and got[2][2].endswith("its end.")
+    assert got[2][2].count("no") <= 2 * S.WINDOW

@@ -1,10 +1,14 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of SPAN consecutive sentences is hashed and joined over the whole corpus; sentences that a non-first repeat covers are removed.
+Every run of SPAN consecutive sentences is hashed and joined over the whole corpus; words that a non-first repeat covers are removed.
 The first occurrence is the one in the document of the smallest id, there at the earliest place. A sentence ends with ``.``, ``!`` or
-``?``, or at a line's end; one of more than LONG words is also cut after words that their own hash picks, so that passages without
-punctuation are found too. Case and white space don't count. Runs of fewer than LEAST words are left alone, so short common lines stay.
-A text of fewer than SPAN sentences is one run.
+``?``, or at a line's end; one of more than LONG words is also cut after words that their own hash picks. Case and white space don't
+count. Runs of fewer than LEAST words are left alone, so short common lines stay. A text of fewer than SPAN sentences is one run.
+
+Repeats that hold fewer whole sentences are found by runs of one to SPAN uncut sentences with at least GRAM words, and by runs of exactly
+GRAM words wherever they begin, of which the smallest hash in each WINDOW of starts is kept. So every repeat of at least GRAM + WINDOW - 1 words is
+found, whatever surrounds it, and at most WINDOW - 1 words stay at each of its ends; where fewer than FEW words of a sentence would go
+and others stay, these stay too. n_removed counts the sentences that lost words.
 
 Null and empty texts have no sentences and come back as they are. Documents without id count as the last. Two rows with the same
 smallest id both count as first. Extra columns pass through.
@@ -22,6 +26,9 @@ from tidemark.llm import text as W
 SPAN = 3
 LEAST = 12
 LONG = 40
+GRAM = 32
+WINDOW = 8
+FEW = 3
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
@@ -34,12 +41,12 @@ def _powers(p: int, n: int) -> np.ndarray:
     return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, np.uint64(p))]), dtype=np.uint64)
 
 
-def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, first byte of each word, the words that start a sentence, each row's first sentence)."""
+def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, first byte of each word, the words that start a sentence, each row's first sentence, which sentences don't start at a cut)."""
     h, first, length, rows = W.words(data, offsets, W.WHITE)
     n = len(h)
     if not n:
-        return h, first, np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+        return h, first, np.zeros(0, np.int64), np.zeros(len(offsets), np.int64), np.zeros(0, bool)
     last = first + length - 1
     lines = np.concatenate([[0], np.cumsum(data == 10)])
     end = _ENDS[data[last]]
@@ -52,64 +59,131 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     at = starts(end)
     size = np.diff(np.append(at, n))
     end |= np.repeat(size > LONG, size) & (h & np.uint64(15) == 0)
-    at = starts(end)
-    return h, first, at, np.searchsorted(at, rows)
-
-
-def spans(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, sentence in the row, hash) of each run of at least ``least`` words."""
-    h, _, at, rows = sentences(data, offsets)
+    uncut, at = at, starts(end)
+    return h, first, at, np.searchsorted(at, rows), np.isin(at, uncut, assume_unique=True)
+
+
+def _sliding(x: np.ndarray, size: int, least: bool) -> np.ndarray:
+    """The smallest of the ``size`` values from each place on, or the largest of those up to it; size is a power of two."""
+    x, step = x.copy(), 1
+    while step < size:
+        if least:
+            x[:-step] = np.minimum(x[:-step], x[step:])
+        else:
+            x[step:] = np.maximum(x[step:], x[:-step])
+        step *= 2
+    return x
+
+
+def _grams(value: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """The places kept of all GRAM-word runs: those with the smallest hash of some WINDOW of starts in a row. base: each row's first word."""
+    starts = np.maximum(np.diff(base) - GRAM + 1, 0)
+    place = np.arange(len(value))
+    row = np.searchsorted(base, place, "right") - 1
+    valid = place - base[row] < starts[row]
+    lowest = _sliding(np.where(valid, value, np.uint64((1 << 64) - 1)), WINDOW, True)
+    whole = valid & (place - base[row] <= np.maximum(starts[row] - WINDOW, 0))
+    kept = valid & (_sliding(np.where(whole, lowest, np.uint64(0)), WINDOW, False) == value)
+    # all runs of one repeated word are alike: every WINDOW-th will do
+    alike = np.zeros(len(value), bool)
+    alike[1:] = value[1:] == value[:-1]
+    since = place - np.maximum.accumulate(np.where(alike, 0, place))
+    return np.flatnonzero(kept & (~alike | (since % WINDOW == 0)))
+
+
+def spans(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word in the row, kind, hash) of each run. Kinds: 0 is GRAM words, others are numbers of sentences."""
+    h, _, at, rows, uncut = sentences(data, offsets)
     n = len(h)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), h
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), h
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(_P, n - 1), dtype=np.uint64)])
+    back = _powers(_Q, n)
     owner = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
     count = np.diff(rows)[owner]
     place = np.arange(len(at)) - rows[owner]
+    edge = np.append(at, n)
+    base = edge[rows]
     begin = np.flatnonzero((place + span <= count) | ((place == 0) & (count < span)))
-    stop = np.append(at, n)[np.minimum(begin + span, rows[owner[begin] + 1])]
-    words = stop - at[begin]
-    begin, stop, words = begin[words >= least], stop[words >= least], words[words >= least]
-    value = W.mix((sums[stop] - sums[at[begin]]) * _powers(_Q, n)[at[begin]] + words.astype(np.uint64))
-    return owner[begin], place[begin], value
+    stop = np.minimum(begin + span, rows[owner[begin] + 1])
+    runs = [(begin, stop, edge[stop] - at[begin] >= least)]
+    whole = np.append(np.flatnonzero(uncut), len(at))
+    for k in range(1, min(span, len(whole) - 1) + 1):
+        begin, stop = whole[:-k], whole[k:]
+        runs.append((begin, stop, (stop <= rows[owner[begin] + 1]) & (edge[stop] - at[begin] >= GRAM) & (stop - begin != span) & (stop - begin <= 63)))
+    out = [(owner[i[ok]], at[i[ok]], edge[j[ok]], (j - i)[ok]) for i, j, ok in runs]
+    if n >= GRAM:
+        value = W.mix((sums[GRAM:] - sums[:-GRAM]) * back[: n - GRAM + 1] + np.uint64(GRAM))
+        first = _grams(value, base)
+        out.append((np.searchsorted(base, first, "right") - 1, first, first + GRAM, np.zeros(len(first), np.int64)))
+    row, first, stop, kind = (np.concatenate(c) for c in zip(*out, strict=True))
+    value = W.mix((sums[stop] - sums[first]) * back[first] + (stop - first).astype(np.uint64))
+    return row, first - base[row], kind, value
 
 
 def _emit(batches: Iterator[pa.RecordBatch], span: int, least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in W.parts(batch):
-            row, place, value = spans(*W.buffers(b.column("text")), span, least)
-            # later runs of a document that repeat one of its own
+            row, place, kind, value = spans(*W.buffers(b.column("text")), span, least)
+            # later runs of a document that repeat one of its own; runs of words must not overlap the first
             order = np.lexsort((place, value, row))
+            r, v, p = row[order], value[order], place[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])
             again = np.zeros(len(row), bool)
             if len(row):
-                again[order[1:]] = (value[order[1:]] == value[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
+                since = p - p[np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))]
+                again[order] = since >= np.where(kind[order] == 0, GRAM, 1)
             ids = np.asarray(b.column("doc_id").fill_null(LAST))
             mark = np.asarray(b.column("_mark"))
-            yield pa.RecordBatch.from_arrays([pa.array(W.signed(value)), pa.array(ids[row]), pa.array((mark[row].astype(np.int64) << 32) | place), pa.array(again)], names=["hash", "doc", "place", "again"])
+            # and those that repeat a run of a smaller id in the batch: they go whatever the corpus holds, so a common run doesn't gather in one task
+            doc = ids[row]
+            order = np.lexsort((doc, value))
+            v, d = value[order], doc[order]
+            new = np.ones(len(row), bool)
+            new[1:] = v[1:] != v[:-1]
+            if len(row):
+                again[order] |= d > d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
+            value[again] = W.mix(doc[again].astype(np.uint64) * np.uint64(_P) + place[again].astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(W.signed(value)), pa.array(doc), pa.array((mark[row].astype(np.int64) >> 4 << 36) | place << 6 | kind), pa.array(again)], names=["hash", "doc", "place", "again"])
+
+
+def _gone(p: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Which of a row's n words go, by its places; at: the words that start a sentence."""
+    first, kind = p >> 6, p & 63
+    edge = np.append(at, n)
+    stop = np.where(kind == 0, first + GRAM, edge[np.minimum(np.searchsorted(at, first) + kind, len(at))])
+    depth = np.zeros(n + 1, np.int64)
+    np.add.at(depth, first, 1)
+    np.add.at(depth, stop, -1)
+    drop = np.cumsum(depth[:n]) > 0
+    lost, words = np.add.reduceat(drop.astype(np.int64), at), np.diff(edge)
+    return drop & ~np.repeat((lost < FEW) & (lost < words), words)
 
 
-def _cut(batches: Iterator[pa.RecordBatch], names: list[str], span: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in W.parts(batch):
             data, offsets = W.buffers(b.column("text"))
-            _, first, at, rows = sentences(data, offsets)
-            begins = first[at] if len(at) else at
+            _, first, at, rows, _ = sentences(data, offsets)
+            base = np.append(at, len(first))[rows]
             texts, total, gone = [], np.diff(rows), []
             marks, places = b.column("_mark").to_pylist(), b.column("_places").to_pylist()
             for i, old in enumerate(b.column("text")):
-                a, z = rows[i], rows[i + 1]
                 p = np.array(places[i] or [], np.int64)
-                p = p[p >> 32 == marks[i]] & 0xFFFFFFFF
-                drop = np.zeros(z - a, bool)
-                for j in range(min(span, z - a)):
-                    drop[np.minimum(p + j, z - a - 1)] = True
-                gone.append(int(drop.sum()))
-                if not gone[-1]:
+                p = p[p >> 36 == marks[i] >> 4] & (1 << 36) - 1
+                if not len(p):
+                    gone.append(0)
                     texts.append(old.as_py())
                     continue
-                edge = np.append(begins[a:z], offsets[i + 1])
+                a, z = base[i], base[i + 1]
+                begins = at[rows[i] : rows[i + 1]] - a
+                drop = _gone(p, begins, z - a)
+                gone.append(int(np.logical_or.reduceat(drop, begins).sum()))
+                edge = np.append(first[a:z], offsets[i + 1])
                 edge[0] = offsets[i]
-                texts.append(b"".join(data[edge[j] : edge[j + 1]].tobytes() for j in np.flatnonzero(~drop)).decode())
+                turn = np.flatnonzero(np.diff(np.concatenate([[True], drop, [True]]).astype(np.int8)))
+                texts.append(b"".join(data[edge[j] : edge[k]].tobytes() for j, k in turn.reshape(-1, 2)).decode())
             out = {n: b.column(n) for n in names} | {"text": pa.array(texts, pa.string()), "n_sentences": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64())}
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
@@ -118,12 +192,14 @@ def dedup(docs: DataFrame, span: int = SPAN, least: int = LEAST) -> DataFrame:
     """The documents with their texts cut, and n_sentences and n_removed."""
     names = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "_mark", "_places", "_doc")]
     marked = docs.select(*names, F.hash("text").alias("_mark"))
-    found = marked.select("doc_id", "text", "_mark").mapInArrow(lambda it: _emit(it, span, least), "hash long, doc long, place long, again boolean")
-    repeated = found.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("again").alias("own")).where("first < last or own").select("hash", "first")
-    remove = found.join(repeated, "hash").where("again or doc > first").groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("place").alias("_places"))
+    # one shuffle serves the counts and the join: both read all columns, so that Spark reuses it; runs known to go are dealt by their places
+    found = marked.select("doc_id", "text", "_mark").mapInArrow(lambda it: _emit(it, span, least), "hash long, doc long, place long, again boolean").where("hash is not null and doc is not null").repartition("hash")
+    doc = F.when(~F.col("again"), F.col("doc"))
+    repeated = found.groupBy("hash").agg(F.min(doc).alias("first"), F.max(doc).alias("last"), F.max("place").alias("place")).where("first < last and place is not null").select("hash", "first")
+    remove = found.join(repeated, "hash", "left").where("again or doc > first").groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("place").alias("_places"))
     joined = marked.withColumn("_doc", F.coalesce("doc_id", F.lit(LAST))).join(remove, "_doc", "left").drop("_doc")
     schema = docs.limit(0).select(names).withColumns({"n_sentences": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
-    return joined.mapInArrow(lambda it: _cut(it, names, span), schema)
+    return joined.mapInArrow(lambda it: _cut(it, names), schema)
 
 
 def op3_sentence_spans(docs: DataFrame) -> DataFrame:
