@@ -89,3 +89,22 @@ def test_matrix_filters(spark):
     assert matrix.filtered(runs, existing=done).count() == 77
     with pytest.raises(errors.Validation):
         matrix.subset(spark, "none")
+
+
+def test_stress_logs(spark):
+    total = "TOTAL  - Takes(s): 9.9, Count: {}, OPS: {}, Avg(us): 99, 90th(us): 1, 95th(us): {}, 99th(us): 9".format
+    logs = {
+        "cassandra": ["Running with 4 threadCount", "Op rate                   :   12,345 op/s  [WRITE: 12,345 op/s]", "Latency 95th percentile   :    1.5 ms [WRITE: 1.5 ms]", "Running with 8 threadCount", "Op rate : 20,000.5 op/s", "Latency 95th percentile : 2.5 ms", "Running with 16 threadCount", "Op rate : 20,000.5 op/s", "Latency 95th percentile : 9.5 ms"],
+        "uneven": ["Running with 4 threads", "Running with 8 threads", "latency 95TH percentile : 7.5 ms", "latency 95th percentile : 3.0 ms", "Op rate : 1 op/s", "Op rate : 2 op/s", "Op rate : 3 op/s"],
+        "auto": ["Running with 4 threadCount", "total,        1000,    1000,    1000,    1000,     0.9", "total,        9000,    8000,    8000,    8000,     0.9", "Latency 95th percentile : 4.0 ms"],
+        "best": ["--- threadcount=4 ---", total(100000, 99, 800), "BEST_THREADS=32", "BEST_OPS_PER_SEC=4321.5", "BEST_P95_US=2500"],
+        "sweep": ["BEST_THREADS=0", "BEST_OPS_PER_SEC=0", "--- threadcount=4 ---", total(100000, 500.5, 800), total(100000, 9999, 1), "--- threadcount=8 ---", total(99, 8000, 5), "--- threadcount=16 ---", "READ   - Takes(s): 9", total(100000, 700.5, 1200)],
+        "bare": ["INSERT - x", total(100000, 600, 1000), total(100000, 650, 2000), total(50000, 999, 1)],
+        "short": ["--- threadcount=4 ---", total(99, 500, 800)],
+        "none": ["nothing", "Running with 3 threads"],
+    }
+    d = spark.createDataFrame([(k, i, x) for k, v in logs.items() for i, x in enumerate(v)], "log string, place long, text string")
+    assert {r.log: tuple(r)[1:] for r in projection.stress_peak(d).collect()} == {
+        "cassandra": (20000.5, 8, 2.5), "uneven": (3.0, 8, 7.5), "auto": (8000.0, 4, 4.0), "best": (4321.5, 32, 2.5),
+        "sweep": (700.5, 16, 1.2), "bare": (650.0, None, 2.0), "short": (None, None, None), "none": (None, 3, None),
+    }

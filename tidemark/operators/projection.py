@@ -152,16 +152,46 @@ def track_table(reports: DataFrame) -> DataFrame:
     return reports.where("status = 'completed'").select("experiment_id", "storage", F.coalesce(number(r"^.*-pk([0-9]+)(?:-|$)"), number(r"^.*-k([0-9]+)(?:-|$)")).alias("partitions"), number(r"^.*-c([0-9]+)(?:-|$)").alias("clients"), metric("achieved_ops_per_sec").alias("ops"), "file").orderBy("experiment_id", "storage", F.col("partitions").asc_nulls_first(), F.col("clients").asc_nulls_first(), "file")
 
 
+def _matches(kind: str, pattern: str):
+    return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("kind"), F.regexp_replace(x, ",", "").alias("value"), F.lit(None).cast("string").alias("p95"), F.lit(None).cast("string").alias("count")))
+
+
+_TOTAL = r"^TOTAL  - Takes\(s\): [^,]+, Count: ([0-9]+), OPS: ([0-9.]+).*?95th\(us\): ([0-9]+)"
+
+
 def stress_peak(lines: DataFrame) -> DataFrame:
-    """The best rate in stress logs, by log: rates, threads and 95th percentiles from result lines; of equal rates the first. lines: log, place, text."""
-    rate = F.regexp_extract("text", r"(?i)op rate\s*:\s*([0-9][0-9,]*)", 1)
-    threads = F.regexp_extract("text", r"(?i)threads?\s*[:=]\s*([0-9]+)", 1)
-    p95 = F.regexp_extract("text", r"(?i)latency 95th percentile\s*:\s*([0-9.]+)", 1)
-    upto = Window.partitionBy("log").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("log").orderBy("place").rowsBetween(0, Window.unboundedFollowing)
-    some = lambda c: F.when(c != "", c)
-    rows = lines.select("log", "place", some(F.regexp_replace(rate, ",", "")).cast("double").alias("ops"), F.last(some(threads), True).over(upto).cast("long").alias("threads"), F.first(some(p95), True).over(after).cast("double").alias("p95_ms"))
-    return rows.where("ops is not null").groupBy("log").agg(F.min_by(F.struct("ops", "threads", "p95_ms"), F.struct(-F.col("ops"), "place")).alias("b")).select("log", "b.*")
+    """The best rate in each log of cassandra-stress or go-ycsb, with its threads and 95th percentile. lines: log, place, text (one line).
+
+    cassandra-stress: the first of the largest 'Op rate' values, or of those of auto-rate 'total,' lines where there are none. Threads and
+    percentile are those of the same number in the log, or else the last threads and the largest percentile. go-ycsb: its BEST_ values, or else
+    the best first TOTAL line of 100000 operations after a 'threadcount' line, or of all such lines where no thread count comes before one.
+    A log without a rate has nulls."""
+    total = F.struct(F.lit("total").alias("kind"), F.regexp_extract("text", _TOTAL, 2).alias("value"), F.regexp_extract("text", _TOTAL, 3).alias("p95"), F.regexp_extract("text", _TOTAL, 1).alias("count"))
+    found = F.concat(
+        _matches("rate", r"Op rate\s*:\s*([0-9,.]+)\s*op/s"), _matches("auto", r"total,\s*[0-9]+,\s*([0-9,]+),\s*[0-9,]+,\s*[0-9,]+,"), _matches("threads", r"Running with\s*([0-9]+)\s*thread"), _matches("p95", r"(?i)95th percentile\s*:\s*([0-9.]+)\s*ms"),
+        _matches("best_ops", r"BEST_OPS_PER_SEC=([0-9.]+)"), _matches("best_threads", r"BEST_THREADS=([0-9]+)"), _matches("best_p95", r"BEST_P95_US=([0-9.]+)"), _matches("count", r"--- threadcount=([0-9]+) ---"),
+        F.when(F.col("text").rlike(_TOTAL), F.array(total)).otherwise(F.array().cast("array<struct<kind:string,value:string,p95:string,count:string>>")),
+    )
+    kind, number = F.col("kind"), F.col("value").try_cast("double")
+    items = lines.select("log", "place", F.posexplode(found).alias("j", "item")).select("log", "place", "j", "item.*").withColumn("n", F.row_number().over(Window.partitionBy("log", "kind").orderBy("place", "j")))
+    order = Window.partitionBy("log").orderBy("place", "j")
+    before = F.lag("kind").over(order)
+    runs = items.where("kind in ('count', 'total')").withColumns({"run": (kind == "total") & F.coalesce(before == "count", F.lit(False)), "begun": F.when((kind == "count") & F.coalesce(before != "count", F.lit(True)), F.col("value"))})
+    runs = runs.withColumn("threads", F.last("begun", True).over(order).cast("long"))
+    full = (kind == "total") & (F.col("count") == "100000")
+    first = lambda ok, *columns: F.min_by(F.struct(*columns), F.when(ok, F.struct(-number, "place", "j")))
+    best = runs.groupBy("log").agg(F.max("run").alias("any"), first(full & F.col("run"), number.alias("ops"), "threads", F.col("p95").cast("double").alias("us")).alias("r"), first(full, number.alias("ops"), F.lit(None).cast("long").alias("threads"), F.col("p95").cast("double").alias("us")).alias("t"))
+    best = best.select("log", F.when(F.col("any"), F.col("r")).otherwise(F.col("t")).alias("run"))
+    of = lambda k: F.max(F.when((kind == k) & (F.col("n") == 1), F.col("value")))
+    peak = items.groupBy("log").agg(F.coalesce(first(kind == "rate", number.alias("ops"), "n"), first(kind == "auto", number.alias("ops"), "n")).alias("peak"), of("best_ops").alias("b_ops"), of("best_threads").alias("b_threads"), of("best_p95").alias("b_us"))
+    at = lambda k: F.max(F.when((kind == k) & (F.col("n") == F.coalesce("peak.n", F.lit(1))), number))
+    near = items.join(peak.select("log", "peak"), "log").groupBy("log").agg(F.coalesce(at("threads"), F.max_by(number, F.when(kind == "threads", F.col("n")))).alias("threads"), F.coalesce(at("p95"), F.max(F.when(kind == "p95", number))).alias("p95_ms"))
+    d = lines.select("log").distinct().join(peak, "log", "left").join(near, "log", "left").join(best, "log", "left")
+    ycsb = F.col("peak").isNull() & (F.coalesce("b_ops", "b_threads", "b_us").isNotNull() | F.col("run").isNotNull())
+    given = F.when(F.col("b_ops") != "0", F.col("b_ops").try_cast("double"))
+    use = given.isNull() & F.col("run").isNotNull()
+    us = F.when(use, F.col("run.us")).otherwise(F.col("b_us").try_cast("double"))
+    return d.select("log", F.when(ycsb, F.coalesce(given, F.col("run.ops"))).otherwise(F.col("peak.ops")).alias("ops"), F.when(ycsb, F.when(use, F.col("run.threads")).when(F.col("b_threads") != "0", F.col("b_threads").cast("long"))).otherwise(F.col("threads").cast("long")).alias("threads"), F.when(ycsb, F.when(us != 0, us / 1000)).otherwise(F.col("p95_ms")).alias("p95_ms"))
 
 
 def sweep_stop(steps: DataFrame, by: list[str], order: str) -> DataFrame:

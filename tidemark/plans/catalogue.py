@@ -565,8 +565,13 @@ def _(spark, d):
 def _(spark, d):
     e = batch(spark, d)
     i = F.col("ordinal")
-    # each third record writes its three lines: threads, rate, percentile
-    text = F.array(F.format_string("Running with threads: %d", i % 16), F.format_string("Op rate : %d op/s", F.floor("value").cast("long")), F.format_string("Latency 95th percentile : %d.0 ms", i % 50))
+    # each third record writes its lines; a log is one of cassandra-stress, of its auto-rate mode, or of go-ycsb
+    ops, threads, p95 = F.floor("value").cast("long"), F.format_string("Running with %d threadCount", i % 16), F.format_string("Latency 95th percentile   : %5d.0 ms [WRITE: %d.0 ms]", i % 50, i % 50)
+    plain = F.array(threads, F.format_string("Op rate                   : %,8d op/s  [WRITE: %,d op/s]", ops, ops), p95)
+    auto = F.array(threads, F.format_string("total, %12d, %8d, %8d, %8d,     0.9,     0.8", i, ops, ops, ops), p95)
+    ycsb = F.array(F.format_string("--- threadcount=%d ---", i % 16), F.format_string("TOTAL  - Takes(s): 9.9, Count: 100000, OPS: %d.0, Avg(us): 99, 90th(us): 100, 95th(us): %d, 99th(us): 900", ops, i % 50 * 1000))
+    tool = F.crc32("topic") % 3
+    text = F.when(tool == 0, plain).when(tool == 1, auto).otherwise(ycsb)
     rows = e.where("ordinal % 3 = 0").select(F.col("topic").alias("log"), "ordinal", F.posexplode(text).alias("j", "text")).select("log", (F.col("ordinal") * 4 + F.col("j")).alias("place"), "text")
     return projection.stress_peak(rows)
 
