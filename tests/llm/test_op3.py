@@ -102,3 +102,17 @@ def test_one_repeated_word(spark):
     got = run(spark, rows)
     assert S.GRAM <= got[1][2].count("no") < 60 and got[2][2].startswith("Start of it. ") and got[2][2].endswith("its end.")
     assert got[2][2].count("no") <= 2 * S.WINDOW
+
+
+def test_documents_without_id(spark):
+    r = random.Random(8)
+    words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    passage, other = words(60), f"{words(30)}. {words(30)}."
+    rows = [(None, f"{words(20)}. {passage}. {words(20)}.") for _ in range(4)] + [(None, other)] * 3 + [(None, None), (None, "")]
+    d = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n long").repartition(3)
+    got = {x.n: x for x in S.dedup(d).collect()}
+    assert len(got) == len(rows)
+    for group, part in ((range(4), passage), (range(4, 7), other)):
+        assert sum(part in got[n].text for n in group) == 1
+        assert sum(got[n].n_removed > 0 for n in group) == len(group) - 1
+    assert got[7].text is None and got[8].text == ""

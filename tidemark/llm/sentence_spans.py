@@ -10,7 +10,8 @@ GRAM words wherever they begin, of which the smallest hash in each WINDOW of sta
 found, whatever surrounds it, and at most WINDOW - 1 words stay at each of its ends; where fewer than FEW words of a sentence would go
 and others stay, these stay too. n_removed counts the sentences that lost words.
 
-Null and empty texts have no sentences and come back as they are. Documents without id count as the last. Two rows with the same
+Null and empty texts have no sentences and come back as they are. Documents without id come after all others, in the order
+of their texts' hashes; of equal texts among them one is the first. Two rows with the same
 smallest id both count as first. Extra columns pass through.
 """
 
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import text as W
@@ -34,7 +35,6 @@ _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 _P = 0x9E3779B97F4A7C15
 _Q = pow(_P, -1, 1 << 64)
-LAST = (1 << 63) - 1
 
 
 def _powers(p: int, n: int) -> np.ndarray:
@@ -134,18 +134,19 @@ def _emit(batches: Iterator[pa.RecordBatch], span: int, least: int) -> Iterator[
             if len(row):
                 since = p - p[np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))]
                 again[order] = since >= np.where(kind[order] == 0, GRAM, 1)
-            ids = np.asarray(b.column("doc_id").fill_null(LAST))
+            ids, none = np.asarray(b.column("_doc")), b.column("_none").to_numpy(zero_copy_only=False)
             mark = np.asarray(b.column("_mark"))
-            # and those that repeat a run of a smaller id in the batch: they go whatever the corpus holds, so a common run doesn't gather in one task
-            doc = ids[row]
-            order = np.lexsort((doc, value))
-            v, d = value[order], doc[order]
+            # and those that repeat a run of an earlier document in the batch: they go whatever the corpus holds, so a common run doesn't gather in one task
+            doc, none = ids[row], none[row]
+            order = np.lexsort((doc, none, value))
+            v, d, o = value[order], doc[order], none[order]
             new = np.ones(len(row), bool)
             new[1:] = v[1:] != v[:-1]
             if len(row):
-                again[order] |= d > d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
+                first = np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))
+                again[order] |= (o > o[first]) | ((o == o[first]) & (d > d[first]))
             value[again] = W.mix(doc[again].astype(np.uint64) * np.uint64(_P) + place[again].astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(W.signed(value)), pa.array(doc), pa.array((mark[row].astype(np.int64) >> 4 << 36) | place << 6 | kind), pa.array(again)], names=["hash", "doc", "place", "again"])
+            yield pa.RecordBatch.from_arrays([pa.array(W.signed(value)), pa.array(doc), pa.array((mark[row].astype(np.int64) >> 4 << 36) | place << 6 | kind), pa.array(again), pa.array(none)], names=["hash", "doc", "place", "again", "none"])
 
 
 def _gone(p: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -161,17 +162,20 @@ def _gone(p: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return drop & ~np.repeat((lost < FEW) & (lost < words), words)
 
 
-def _cut(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], names: list[str], span: int, least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in W.parts(batch):
             data, offsets = W.buffers(b.column("text"))
             _, first, at, rows, _ = sentences(data, offsets)
             base = np.append(at, len(first))[rows]
             texts, total, gone = [], np.diff(rows), []
-            marks, places = b.column("_mark").to_pylist(), b.column("_places").to_pylist()
+            marks, places, copies = b.column("_mark").to_pylist(), b.column("_places").to_pylist(), b.column("_copy").to_pylist()
             for i, old in enumerate(b.column("text")):
                 p = np.array(places[i] or [], np.int64)
                 p = p[p >> 36 == marks[i] >> 4] & (1 << 36) - 1
+                if copies[i]:
+                    _, place, kind, _ = spans(*W.buffers(b.column("text").slice(i, 1)), span, least)
+                    p = place << 6 | kind
                 if not len(p):
                     gone.append(0)
                     texts.append(old.as_py())
@@ -188,18 +192,27 @@ def _cut(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
 
+def _numbered(marked: DataFrame) -> DataFrame:
+    """Adds _copy: true for all but one of the documents without id that have the same text."""
+    alone = F.col("_none") & F.coalesce(F.col("text") != "", F.lit(False))
+    number = F.row_number().over(Window.partitionBy("_doc").orderBy("text"))
+    return marked.where(~alone).withColumn("_copy", F.lit(False)).unionByName(marked.where(alone).withColumn("_copy", number > 1))
+
+
 def dedup(docs: DataFrame, span: int = SPAN, least: int = LEAST) -> DataFrame:
     """The documents with their texts cut, and n_sentences and n_removed."""
-    names = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "_mark", "_places", "_doc")]
-    marked = docs.select(*names, F.hash("text").alias("_mark"))
+    names = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "_mark", "_places", "_doc", "_none", "_copy")]
+    marked = docs.select(*names, F.hash("text").alias("_mark"), F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.xxhash64("text")).alias("_doc"))
     # one shuffle serves the counts and the join: both read all columns, so that Spark reuses it; runs known to go are dealt by their places
-    found = marked.select("doc_id", "text", "_mark").mapInArrow(lambda it: _emit(it, span, least), "hash long, doc long, place long, again boolean").where("hash is not null and doc is not null").repartition("hash")
-    doc = F.when(~F.col("again"), F.col("doc"))
-    repeated = found.groupBy("hash").agg(F.min(doc).alias("first"), F.max(doc).alias("last"), F.max("place").alias("place")).where("first < last and place is not null").select("hash", "first")
-    remove = found.join(repeated, "hash", "left").where("again or doc > first").groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("place").alias("_places"))
-    joined = marked.withColumn("_doc", F.coalesce("doc_id", F.lit(LAST))).join(remove, "_doc", "left").drop("_doc")
+    found = marked.select("text", "_mark", "_doc", "_none").mapInArrow(lambda it: _emit(it, span, least), "hash long, doc long, place long, again boolean, none boolean").where("hash is not null and doc is not null and none is not null").repartition("hash")
+    here = lambda none: F.when(~F.col("again") & (F.col("none") == none), F.col("doc"))
+    repeated = found.groupBy("hash").agg(F.min(here(False)).alias("first"), F.max(here(False)).alias("last"), F.min(here(True)).alias("bare"), F.max(here(True)).alias("bare_last"), F.max("place").alias("place"))
+    repeated = repeated.where("(first < last or bare < bare_last or (first is not null and bare is not null)) and place is not null").select("hash", "first", "bare")
+    gone = found.join(repeated, "hash", "left").where("again or if(none, first is not null or doc > bare, doc > first)")
+    remove = gone.groupBy(F.col("none").alias("_none"), F.col("doc").alias("_doc")).agg(F.collect_list("place").alias("_places"))
+    joined = _numbered(marked).join(remove, ["_none", "_doc"], "left").drop("_none", "_doc")
     schema = docs.limit(0).select(names).withColumns({"n_sentences": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
-    return joined.mapInArrow(lambda it: _cut(it, names), schema)
+    return joined.mapInArrow(lambda it: _cut(it, names, span, least), schema)
 
 
 def op3_sentence_spans(docs: DataFrame) -> DataFrame:
