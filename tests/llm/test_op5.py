@@ -93,7 +93,37 @@ def test_components(spark):
 
 
 def test_bloom(spark):
-    keys = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 4000)
+    keys = np.random.default_rng(1).integers(-(1 << 63), (1 << 63) - 1, 4000)
     f = bloom.build(spark.createDataFrame([(int(x),) for x in keys[:2000]], "k long"), "k")
     said = bloom.passes(f, keys)
     assert said[:2000].all() and said[2000:].mean() < 0.01
+
+
+def test_large_leaves_of_loose_documents(spark, monkeypatch):
+    # small blocks and no tiny leaves: everything that the pivots leave open goes through block pairs, and the other way round
+    rows = made(3, 120, 0.45, 4) + [(10_000 + i, t) for i, t in made(40, 3, 0.3, 5)]
+    want = brute(rows)
+    for tiny, block, tokens in ((0, 16, 1 << 18), (2, 256, 2000), (1 << 30, 256, 1 << 18)):
+        monkeypatch.setattr(near_dup, "TINY", tiny)
+        monkeypatch.setattr(near_dup, "BLOCK", block)
+        monkeypatch.setattr(near_dup, "BLOCK_TOKENS", tokens)
+        assert run(spark, rows) == want
+
+
+def test_spanning_forest():
+    r = np.random.default_rng(3)
+    for n, m in ((1, 0), (2, 1), (50, 20), (50, 60), (300, 5000)):
+        a, b = r.integers(0, n, m), r.integers(0, n, m)
+        keep = near_dup.spanning_forest(a, b)
+        up = {}
+
+        def root(x):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        for i in keep:
+            x, y = root(a[i]), root(b[i])
+            assert x != y
+            up[x] = y
+        assert all(root(x) == root(y) for x, y in zip(a, b, strict=True))

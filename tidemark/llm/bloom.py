@@ -6,18 +6,16 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import text as W
 
-#: 2^23 bits, 1 MB; two bits for each key. When too many keys fill it, it sieves less but loses nothing.
+#: 2^23 bits, 1 MB; two bits for each key, which come from two parts of it, so keys must be hashes. When too many keys fill it, it sieves less but loses nothing.
 BITS = 23
-_SECOND = 0x9E3779B97F4A7C15 - (1 << 64)
 
 
 def _slots(key: Column) -> Column:
-    again = F.xxhash64(key)
-    return F.array(F.shiftrightunsigned(key, 64 - BITS), F.shiftrightunsigned(again, 64 - BITS))
+    return F.array(F.shiftrightunsigned(key, 64 - BITS), F.shiftrightunsigned(F.shiftleft(key, BITS), 64 - BITS))
 
 
 def build(keys: DataFrame, column: str) -> np.ndarray:
-    """The filter of a long column; at most 2^17 words of it come to the driver. Nulls are left out."""
+    """The filter of a long column of hashes; at most 2^17 words of it come to the driver. Nulls are left out."""
     bits = keys.where(F.col(column).isNotNull()).select(F.explode(_slots(F.col(column))).alias("s")).select(F.shiftright("s", 6).alias("w"), F.expr("shiftleft(1L, cast(s & 63 as int))").alias("b"))
     out = np.zeros(1 << (BITS - 6), np.uint64)
     for r in bits.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
@@ -30,7 +28,7 @@ def passes(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
     keys = keys.view(np.uint64)
     ok = _get(bloom, keys >> np.uint64(64 - BITS))
     at = np.flatnonzero(ok)
-    ok[at] = _get(bloom, _xxhash64(keys[at]) >> np.uint64(64 - BITS))
+    ok[at] = _get(bloom, (keys[at] << np.uint64(BITS)) >> np.uint64(64 - BITS))
     return ok
 
 
@@ -38,23 +36,6 @@ def _get(bloom: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (bloom[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _rotl(x: np.ndarray, n: int) -> np.ndarray:
-    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
-
-
-def _xxhash64(keys: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of a long (seed 42)."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    h = np.full(len(keys), np.uint64(42) + p5 + np.uint64(8))
-    h ^= _rotl(keys * p2, 31) * p1
-    h = _rotl(h, 27) * p1 + p4
-    h ^= h >> np.uint64(33)
-    h = h * p2
-    h ^= h >> np.uint64(29)
-    h = h * p3
-    return h ^ (h >> np.uint64(32))
-
-
 def sieve(df: DataFrame, column: str, bloom: np.ndarray) -> DataFrame:
     """Rows whose long column may be in the filter."""
 

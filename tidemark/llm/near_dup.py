@@ -7,13 +7,14 @@ groups cost no quadratic work, in this order:
 
 1. each with the most central document of its leaf, then with another one drawn at random; what links joins components;
 2. in leaves that still hold several components, all pairs of different components: in tiny leaves by sketches, in larger ones block
-   against block by the overlap of their token sets, so that only pairs that link leave the task. What is in the leaf's largest
-   component isn't compared with itself. Very large leaves branch on before that.
+   against block by their full sets, where only a spanning forest of the links leaves the task, since no more is needed for components.
+   What is in the leaf's largest component isn't compared with itself. Blocks are bounded in documents and in tokens, and each pair of
+   blocks is a row of its own key, so a large leaf spreads over tasks.
 
 Sketches of a pair must agree in as many places as all but one linked pair in 200,000 does, before its full sets are compared.
 
-A pair at the threshold meets in some leaf with a probability of over 0.99999, likelier above it. Links are confirmed on full sets, and
-components are taken over confirmed links in Spark. There is no cap on candidates, partners or group sizes.
+A pair at the threshold meets in some leaf with a probability of over 0.99999, likelier above it, whatever the size of its leaves. Links are
+confirmed on full sets, and components are taken over confirmed links in Spark. There is no cap on candidates, partners or group sizes.
 
 Null and empty texts have an empty set and stand alone; so do documents without an id, which are kept. Rows with one id and one text are
 one document; texts under one id are linked by it. Long texts count whole. Extra columns pass through ``keep_first``.
@@ -37,12 +38,8 @@ COORDINATES = 64
 TREES = 16
 #: Children that a node has for each document, by level; their product times TREES is a document's number of leaves.
 FAN = (1, 2, 1)
-#: Documents in an open leaf from which it branches on, with so many children a level, for so many levels at most.
-LARGE, DEEP_FAN, DEEP_LEVELS = 4096, 3, 2
-#: Documents in a leaf that counts as tiny, and in a block of a larger one; tokens that a block's overlaps are counted over at once.
-TINY, BLOCK, COLUMNS = 16, 256, 4096
-#: Tokens in blocks have 32 bits, so a set can look smaller or a pair closer by a token or two; the full sets decide.
-SLACK = 2
+#: Documents in a leaf that counts as tiny; documents and tokens in a block of a larger one; tokens that a block's overlaps are counted over at once.
+TINY, BLOCK, BLOCK_TOKENS, COLUMNS = 16, 256, 1 << 18, 4096
 #: Places of a sketch, a byte each, and the standard errors that a linked pair may fall short by.
 PLACES, ERRORS = 256, 4.5
 
@@ -123,14 +120,6 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(W.signed(paths.ravel())), pa.array(ids)], names=["node", "id"])
 
 
-def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        paths = _branch(np.asarray(b.column("node")).view(np.uint64)[:, None], _signs(b.column("sig")), DEEP_FAN)
-        take = pa.array(np.repeat(np.arange(b.num_rows), DEEP_FAN))
-        cols = {n: b.column(n).take(take) for n in b.schema.names} | {"node": pa.array(W.signed(paths.ravel()))}
-        yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
-
-
 def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         left, right = (shingle_sets(*W.buffers(b.column(c)), k) for c in ("text_a", "text_b"))
@@ -146,8 +135,13 @@ def _sketched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
         for b in W.parts(batch):
             sets = list(shingle_sets(*W.buffers(b.column("text")), k))
             sketches = [(signature(s, PLACES) & np.uint32(255)).astype(np.uint8).tobytes() for s in sets]
-            tokens = [np.unique(s.astype(np.uint32)).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sketches, pa.binary()), pa.array(tokens, pa.binary())], names=[*b.schema.names, "sketch", "tokens"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sketches, pa.binary())], names=[*b.schema.names, "sketch"])
+
+
+def _tokens(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for b in W.parts(batch):
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s.tobytes() for s in shingle_sets(*W.buffers(b.column("text")), k)], pa.binary())], names=["id", "tokens"])
 
 
 def _likely(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -176,16 +170,17 @@ def _compare_tiny(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.
 
 
 def _block(col: pa.Array, i: int) -> tuple[np.ndarray, ...]:
+    """(ids, labels, set sizes, all tokens, the owner of each) of a block."""
     rows = col[i].values
     data = rows.field("data").to_pylist()
-    size = np.array([len(x) // 4 for x in data])
-    return np.asarray(rows.field("id")), np.asarray(rows.field("label")), size, np.frombuffer(b"".join(data), np.uint32), np.repeat(np.arange(len(data)), size)
+    size = np.array([len(x) // 8 for x in data])
+    return np.asarray(rows.field("id")), np.asarray(rows.field("label")), size, np.frombuffer(b"".join(data), np.uint64), np.repeat(np.arange(len(data)), size)
 
 
 def _overlaps(x: tuple, y: tuple) -> np.ndarray:
     """How many tokens each document of one block has in common with each of the other, a range of shared tokens at a time."""
     shared = np.intersect1d(x[3], y[3])
-    out = np.zeros((len(x[0]), len(y[0])), np.float32)
+    out = np.zeros((len(x[0]), len(y[0])), np.float32 if max(x[2].max(), y[2].max()) < 1 << 24 else np.float64)
     for at in range(0, len(shared), COLUMNS):
         part = shared[at : at + COLUMNS]
         sides = []
@@ -199,22 +194,32 @@ def _overlaps(x: tuple, y: tuple) -> np.ndarray:
     return out
 
 
+def spanning_forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which edges a-b make a spanning forest of the graph of all: every root hooks one of its edges to a smaller root, until none is left."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, at = place[: len(a)], place[len(a) :], np.arange(len(a))
+    root, kept = np.arange(len(nodes)), []
+    while len(at):
+        x, y = root[a], root[b]
+        open_ = x != y
+        a, b, at, x, y = a[open_], b[open_], at[open_], x[open_], y[open_]
+        high, first = np.unique(np.maximum(x, y), return_index=True)
+        root[high] = np.minimum(x, y)[first]
+        kept.append(at[first])
+        while (root[root] != root).any():
+            root = root[root]
+    return np.concatenate([np.zeros(0, np.int64), *kept])
+
+
 def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components, from two blocks of a leaf, whose overlap is large enough."""
+    """Links that join all components which links between two blocks of a leaf join: fewer than the blocks have documents."""
     for b in batches:
         for i in range(b.num_rows):
             x, y = _block(b.column("left"), i), _block(b.column("right"), i)
             both, sizes = _overlaps(x, y), x[2][:, None] + y[2][None]
-            passes = lambda o: (100 * o >= percent * (sizes - o)) & (x[1][:, None] != y[1][None])  # noqa: B023, E731
-            p, q = np.nonzero(passes(both + SLACK))
-            # one sure link joins a document to another component; unsure ones all go on unless there is one
-            sure = passes(both - SLACK)[p, q]
-            key = np.column_stack([p, y[1][q]])
-            first = np.unique(key[sure], axis=0, return_index=True)[1]
-            joined = {*map(tuple, key[sure][first])}
-            unsure = np.array([tuple(k) not in joined for k in key[~sure]], bool)
-            p, q = (np.concatenate([v[sure][first], v[~sure][unsure]]) for v in (p, q))
-            yield _pairs([np.sort(np.column_stack([x[0][p], y[0][q]]), axis=1)])
+            p, q = np.nonzero((100.0 * both >= percent * (sizes - both)) & (both > 0) & (x[1][:, None] != y[1][None]))
+            keep = spanning_forest(x[1][p], y[1][q])
+            yield _pairs([np.sort(np.column_stack([x[0][p[keep]], y[0][q[keep]]]), axis=1)])
 
 
 def classes(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
@@ -231,9 +236,10 @@ def classes(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
     open_ = members.select("node", "id").join(rank, "id")
 
     ids = rank.select("id")
-    texts = bloom.sieve(docs.select(F.col("doc_id").alias("id"), "text").where("id is not null"), "id", bloom.build(ids, "id"))
+    hashed = F.xxhash64("id").alias("h")
+    texts = bloom.sieve(docs.select(F.col("doc_id").alias("id"), "text").where("id is not null").select("*", hashed), "h", bloom.build(ids.select(hashed), "h"))
     texts = texts.join(ids, "id", "left_semi").select("id", "text")
-    texts = written(texts.mapInArrow(lambda it: _sketched(it, k), "id long, text string, sketch binary, tokens binary"), "op5-texts")
+    texts = written(texts.mapInArrow(lambda it: _sketched(it, k), "id long, text string, sketch binary"), "op5-texts")
     least = _least(percent)
     sketches = texts.select("id", "sketch")
 
@@ -256,35 +262,28 @@ def classes(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
         labels = written(components(links).select("id", F.col("component").alias("label")), f"op5-labels{turn}")
 
     # leaves that still hold several components
-    now = open_.drop("centre").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    signs = reps.groupBy("id").agg(F.first("sig").alias("sig"))
-
-    def sized(rows: DataFrame) -> DataFrame:
-        each = rows.groupBy("node", "label").agg(F.count("*").alias("n"))
-        leaf = each.groupBy("node").agg(F.sum("n").alias("m"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-        return rows.join(leaf, "node")
-
-    now = written(sized(now), "op5-open")
-    ready = now.where(f"m <= {LARGE}")
-    for level in range(DEEP_LEVELS):
-        large = now.where(f"m > {LARGE}").select("node", "id", "label")
-        if large.isEmpty():
-            break
-        deep = large.join(signs, "id").select("node", "id", "label", "sig")
-        now = written(sized(deep.mapInArrow(_deeper, deep.schema).drop("sig")).select(ready.columns), f"op5-open{level}")
-        ready = ready.unionByName(now if level == DEEP_LEVELS - 1 else now.where(f"m <= {LARGE}"))
+    now = open_.drop("centre").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).join(reps.groupBy("id").agg(F.first("n").alias("n")), "id")
+    each = now.groupBy("node", "label").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
+    largest = F.struct("m", "label", "t")
+    leaf = each.groupBy("node").agg(F.sum("m").alias("m"), F.sum("t").alias("t"), F.max(largest).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    # blocks of the largest component come after the others
+    blocks = lambda m, t: F.greatest(F.ceil(m / BLOCK), F.ceil(t / BLOCK_TOKENS))
+    others, main = blocks(F.col("m") - F.col("main.m"), F.col("t") - F.col("main.t")), blocks(F.col("main.m"), F.col("main.t"))
+    leaf = leaf.select("node", "m", F.col("main.label").alias("main"), others.alias("others"), (others + main).alias("blocks"))
+    ready = written(now.drop("n").join(leaf, "node"), "op5-open")
     data = lambda c: F.struct("id", "label", F.col(c).alias("data")).alias("row")
     tiny = ready.where(f"m <= {TINY}").join(sketches, "id").select("node", data("sketch")).groupBy("node").agg(F.collect_list("row").alias("rows"))
-    # blocks of the largest component come after the others
-    others, main = (F.ceil(c / BLOCK) for c in (F.col("m") - F.col("n_main"), F.col("n_main")))
-    block = F.when(F.col("label") == F.col("main"), others + F.pmod(F.xxhash64("id"), main)).otherwise(F.pmod(F.xxhash64("id"), others))
-    packed = ready.where(f"m > {TINY}").join(texts.select("id", "tokens"), "id").select("node", others.alias("others"), block.alias("block"), data("tokens"))
-    packed = written(packed.groupBy("node", "others", "block").agg(F.collect_list("row").alias("rows")), "op5-blocks")
-    right = packed.select("node", F.col("block").alias("to"), F.col("rows").alias("right"))
-    several = packed.where("block < others").join(right, "node").where("to >= block").select(F.col("rows").alias("left"), "right")
-    near = tiny.select("rows").mapInArrow(lambda it: _compare_tiny(it, least), "a long, b long")
-    pairs = near.unionByName(several.mapInArrow(lambda it: _compare(it, percent), "a long, b long")).distinct()
-    found = confirmed(written(pairs.join(tried, ["a", "b"], "left_anti"), "op5-pairs"), "op5-links")
+    large = ready.where(f"m > {TINY}")
+    tokens = texts.select("id", "text").join(large.select("id").distinct(), "id").mapInArrow(lambda it: _tokens(it, k), "id long, tokens binary")
+    block = F.when(F.col("label") == F.col("main"), F.col("others") + F.pmod(F.xxhash64("id"), F.col("blocks") - F.col("others"))).otherwise(F.pmod(F.xxhash64("id"), "others"))
+    packed = large.join(tokens, "id").select("node", "others", "blocks", block.alias("block"), data("tokens"))
+    packed = written(packed.groupBy("node", "others", "blocks", "block").agg(F.collect_list("row").alias("rows")), "op5-blocks")
+    # a block of the others goes to every later block and itself, each of which has its own key
+    left = packed.where("block < others").select("node", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("to"), F.col("rows").alias("left"))
+    both = left.join(packed.select("node", F.col("block").alias("to"), F.col("rows").alias("right")), ["node", "to"]).select("left", "right")
+    found = written(both.mapInArrow(lambda it: _compare(it, percent), "a long, b long"), "op5-links")
+    near = tiny.select("rows").mapInArrow(lambda it: _compare_tiny(it, least), "a long, b long").distinct()
+    found = found.unionByName(confirmed(written(near.join(tried, ["a", "b"], "left_anti"), "op5-pairs"), "op5-links"))
     if not found.isEmpty():
         labels = components(links.unionByName(found)).select("id", F.col("component").alias("label"))
     by_set = reps.select("set_key", "id").join(labels, "id", "left").select("set_key", F.coalesce("label", "id").alias("component"))
@@ -293,8 +292,8 @@ def classes(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
     """The documents whose id is their component's; of repeated rows under one id all stay. Documents without id stay."""
-    found = classes(docs, k, percent).where("doc_id = component").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_id"), "left").where("_id is not null or doc_id is null").drop("_id").select(docs.columns)
+    found = classes(docs, k, percent).where("doc_id = component").select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op5_chosen_path(docs: DataFrame) -> DataFrame:
