@@ -53,5 +53,13 @@ def _clean() -> None:
             return
 
 
+def own(*frames: DataFrame) -> str:
+    """A prefix that no column of the frames begins with, whatever its case: for an operator's own columns beside the user's."""
+    taken, name = [c.lower() for f in frames for c in f.columns], "own_"
+    while any(c.startswith(name) for c in taken):
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
