@@ -18,13 +18,13 @@ def cut(text):
     return out
 
 
-def brute(rows):
+def brute(rows, least=12):
     runs, all_ = {}, {}
     for d, t in sorted(rows, key=lambda r: r[0]):
         s = all_[d] = cut(t)
         for i in range(max(len(s) - S.SPAN + 1, 1) if s else 0):
             words = tuple(re.sub("[A-Z]", lambda m: m[0].lower(), w) for x in s[i : i + S.SPAN] for _, w in x)
-            if len(words) >= S.LEAST:
+            if len(words) >= least:
                 runs.setdefault(words, []).append((d, i))
     gone = {}
     for places in runs.values():
@@ -38,8 +38,8 @@ def brute(rows):
     return out
 
 
-def run(spark, rows):
-    return {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in S.op3_sentence_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+def run(spark, rows, least=S.LEAST):
+    return {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in S.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), least=least).collect()}
 
 
 def test_brute(spark):
@@ -48,7 +48,7 @@ def test_brute(spark):
     pool = [line() for _ in range(60)]
     rows = [(i, "  " * (i % 2) + " ".join(line() if r.random() < 0.6 else " ".join(pool[j : j + 5]) for j in (r.randrange(60) for _ in range(r.randint(0, 15))))) for i in range(150)]
     rows += [(200, None), (201, ""), (202, rows[3][1]), (203, rows[3][1].upper())]
-    assert run(spark, rows) == brute(rows)
+    assert run(spark, rows, 12) == brute(rows)
 
 
 def test_passage_without_punctuation(spark):
@@ -66,7 +66,7 @@ def test_edge_cases(spark):
     a = "One two three four five. Six seven eight nine ten. Eleven twelve thirteen."
     rows = [(5, a), (None, a), (7, f"{a} {a}"), (7, "other"), (8, "x" * 200_000), (9, "y. " * 30_000), (4, "Short. Short. Short.")]
     d = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_removed long")
-    got = [(r.doc_id, r.n_removed) for r in S.dedup(d).collect()]
+    got = [(r.doc_id, r.n_removed) for r in S.dedup(d, least=12).collect()]
     assert (5, 0) in got and (None, 3) in got and (7, 6) in got and (7, 0) in got and (8, 0) in got and (4, 0) in got
     assert S.op3_sentence_spans(d.limit(0)).count() == 0
 
@@ -116,3 +116,11 @@ def test_documents_without_id(spark):
         assert sum(part in got[n].text for n in group) == 1
         assert sum(got[n].n_removed > 0 for n in group) == len(group) - 1
     assert got[7].text is None and got[8].text == ""
+
+
+def test_short_stock_runs_stay(spark):
+    r = random.Random(9)
+    words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    stock = "The and attion. Eriner thanea of it. Licensed under the Apache License, Version 2.0."
+    rows = [(i, f"{words(40)}. {stock} {words(40)}.") for i in range(5)]
+    assert all(v[1] == 0 and v[2] == rows[i][1] for i, v in run(spark, rows).items())

@@ -3,7 +3,7 @@
 Every run of SPAN consecutive sentences is hashed and joined over the whole corpus; words that a non-first repeat covers are removed.
 The first occurrence is the one in the document of the smallest id, there at the earliest place. A sentence ends with ``.``, ``!`` or
 ``?``, or at a line's end; one of more than LONG words is also cut after words that their own hash picks. Case and white space don't
-count. Runs of fewer than LEAST words are left alone, so short common lines stay. A text of fewer than SPAN sentences is one run.
+count. Runs of fewer than LEAST words are left alone, so that stock phrases and license lines stay. A text of fewer than SPAN sentences is one run.
 
 Repeats that hold fewer whole sentences are found by runs of one to SPAN uncut sentences with at least GRAM words, and by runs of exactly
 GRAM words wherever they begin, of which the smallest hash in each WINDOW of starts is kept. So every repeat of at least GRAM + WINDOW - 1 words is
@@ -12,7 +12,7 @@ and others stay, these stay too. n_removed counts the sentences that lost words.
 
 Null and empty texts have no sentences and come back as they are. Documents without id come after all others, in the order
 of their texts' hashes; of equal texts among them one is the first. Two rows with the same
-smallest id both count as first. Extra columns pass through.
+smallest id both count as first. Extra columns pass through; ones named n_sentences or n_removed are replaced.
 """
 
 from collections.abc import Iterator
@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import text as W
+from tidemark.llm.shared import own
 
 SPAN = 3
-LEAST = 12
+LEAST = 32
 LONG = 40
 GRAM = 32
 WINDOW = 8
@@ -134,8 +135,8 @@ def _emit(batches: Iterator[pa.RecordBatch], span: int, least: int) -> Iterator[
             if len(row):
                 since = p - p[np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))]
                 again[order] = since >= np.where(kind[order] == 0, GRAM, 1)
-            ids, none = np.asarray(b.column("_doc")), b.column("_none").to_numpy(zero_copy_only=False)
-            mark = np.asarray(b.column("_mark"))
+            ids, none = np.asarray(b.column("doc")), b.column("none").to_numpy(zero_copy_only=False)
+            mark = np.asarray(b.column("mark"))
             # and those that repeat a run of an earlier document in the batch: they go whatever the corpus holds, so a common run doesn't gather in one task
             doc, none = ids[row], none[row]
             order = np.lexsort((doc, none, value))
@@ -162,14 +163,14 @@ def _gone(p: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return drop & ~np.repeat((lost < FEW) & (lost < words), words)
 
 
-def _cut(batches: Iterator[pa.RecordBatch], names: list[str], span: int, least: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], names: list[str], o: str, span: int, least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in W.parts(batch):
             data, offsets = W.buffers(b.column("text"))
             _, first, at, rows, _ = sentences(data, offsets)
             base = np.append(at, len(first))[rows]
             texts, total, gone = [], np.diff(rows), []
-            marks, places, copies = b.column("_mark").to_pylist(), b.column("_places").to_pylist(), b.column("_copy").to_pylist()
+            marks, places, copies = (b.column(f"{o}{c}").to_pylist() for c in ("mark", "places", "copy"))
             for i, old in enumerate(b.column("text")):
                 p = np.array(places[i] or [], np.int64)
                 p = p[p >> 36 == marks[i] >> 4] & (1 << 36) - 1
@@ -192,27 +193,28 @@ def _cut(batches: Iterator[pa.RecordBatch], names: list[str], span: int, least:
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
 
-def _numbered(marked: DataFrame) -> DataFrame:
-    """Adds _copy: true for all but one of the documents without id that have the same text."""
-    alone = F.col("_none") & F.coalesce(F.col("text") != "", F.lit(False))
-    number = F.row_number().over(Window.partitionBy("_doc").orderBy("text"))
-    return marked.where(~alone).withColumn("_copy", F.lit(False)).unionByName(marked.where(alone).withColumn("_copy", number > 1))
+def _numbered(marked: DataFrame, o: str) -> DataFrame:
+    """Adds <o>copy: true for all but one of the documents without id that have the same text."""
+    alone = F.col(f"{o}none") & F.coalesce(F.col("text") != "", F.lit(False))
+    number = F.row_number().over(Window.partitionBy(f"{o}doc").orderBy("text"))
+    return marked.where(~alone).withColumn(f"{o}copy", F.lit(False)).unionByName(marked.where(alone).withColumn(f"{o}copy", number > 1))
 
 
 def dedup(docs: DataFrame, span: int = SPAN, least: int = LEAST) -> DataFrame:
     """The documents with their texts cut, and n_sentences and n_removed."""
-    names = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "_mark", "_places", "_doc", "_none", "_copy")]
-    marked = docs.select(*names, F.hash("text").alias("_mark"), F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.xxhash64("text")).alias("_doc"))
+    o = own(docs)
+    names = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
+    marked = docs.select(*names, F.hash("text").alias(f"{o}mark"), F.col("doc_id").isNull().alias(f"{o}none"), F.coalesce("doc_id", F.xxhash64("text")).alias(f"{o}doc"))
     # one shuffle serves the counts and the join: both read all columns, so that Spark reuses it; runs known to go are dealt by their places
-    found = marked.select("text", "_mark", "_doc", "_none").mapInArrow(lambda it: _emit(it, span, least), "hash long, doc long, place long, again boolean, none boolean").where("hash is not null and doc is not null and none is not null").repartition("hash")
+    found = marked.select("text", *(F.col(f"{o}{c}").alias(c) for c in ("mark", "doc", "none"))).mapInArrow(lambda it: _emit(it, span, least), "hash long, doc long, place long, again boolean, none boolean").where("hash is not null and doc is not null and none is not null").repartition("hash")
     here = lambda none: F.when(~F.col("again") & (F.col("none") == none), F.col("doc"))
     repeated = found.groupBy("hash").agg(F.min(here(False)).alias("first"), F.max(here(False)).alias("last"), F.min(here(True)).alias("bare"), F.max(here(True)).alias("bare_last"), F.max("place").alias("place"))
     repeated = repeated.where("(first < last or bare < bare_last or (first is not null and bare is not null)) and place is not null").select("hash", "first", "bare")
     gone = found.join(repeated, "hash", "left").where("again or if(none, first is not null or doc > bare, doc > first)")
-    remove = gone.groupBy(F.col("none").alias("_none"), F.col("doc").alias("_doc")).agg(F.collect_list("place").alias("_places"))
-    joined = _numbered(marked).join(remove, ["_none", "_doc"], "left").drop("_none", "_doc")
+    remove = gone.groupBy(F.col("none").alias(f"{o}none"), F.col("doc").alias(f"{o}doc")).agg(F.collect_list("place").alias(f"{o}places"))
+    joined = _numbered(marked, o).join(remove, [f"{o}none", f"{o}doc"], "left").drop(f"{o}none", f"{o}doc")
     schema = docs.limit(0).select(names).withColumns({"n_sentences": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
-    return joined.mapInArrow(lambda it: _cut(it, names, span, least), schema)
+    return joined.mapInArrow(lambda it: _cut(it, names, o, span, least), schema)
 
 
 def op3_sentence_spans(docs: DataFrame) -> DataFrame:
