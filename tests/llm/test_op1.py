@@ -34,16 +34,30 @@ def test_base(spark):
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest() and r.spans == text, i
 
 
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t)
+
+
+def test_near_words_have_no_reach():
+    far = " ".join("w" * 90 + c for c in "abcdefghijkl")
+    t = f"{far} x@y.z {far}"
+    a = t.index("x@")
+    assert P._near(t, a, a + 5) == far.split()[-8:] + far.split()[:8]
+
+
 def brute(rows):
     """Spans by the definition, over dictionaries."""
     near, often, n = defaultdict(set), defaultdict(int), len(rows)
     for i, t in rows:
         t = t or ""
-        for w in {*P.WORD.findall(t.translate(P.LOWER))}:
+        for w in {*re.findall(WORD, lower(t))}:
             often[w] += 1
         for a, k, b in brute_base(t):
             value = t[a:b].lower() if k in ("email", "ip") else re.sub("[ ().-]", "", t[a:b])
-            words = P._near(t, a, b)
+            words = re.findall(WORD, lower(t[:a]))[-8:] + re.findall(WORD, lower(t[b:]))[:8]
             for w in {w for w in words if len(w) >= P.LEAST and not re.search("[0-9]", w)}:
                 near[(k, value), w].add((i, " ".join(words)))
     docs_of = defaultdict(set)
@@ -59,7 +73,7 @@ def brute(rows):
     out = {}
     for i, t in rows:
         base = brute_base(t or "")
-        extra = [(m.start(), mark[m[0]], m.end()) for m in P.WORD.finditer((t or "").translate(P.LOWER)) if m[0] in mark]
+        extra = [(m.start(), mark[m[0]], m.end()) for m in re.finditer(WORD, lower(t or "")) if m[0] in mark]
         extra = [e for e in extra if not any(a < e[2] and e[0] < b for a, _, b in base)]
         out[i] = ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(base + extra, key=lambda s: (s[0], P.KINDS.index(s[1]))))
     return out
@@ -79,7 +93,8 @@ def test_method(spark):
 
 def test_sanitise(spark):
     d = spark.createDataFrame([(*r, "k") for r in ROWS], "doc_id long, text string, extra string")
-    got = {r.doc_id: r.text for r in P.sanitise(d.drop("extra")).collect()}
+    got = {r.doc_id: r.text for r in P.sanitise(d).collect()}
+    assert all(r.extra == "k" for r in P.sanitise(d.withColumn("_key", d.extra)).select("extra", "_key").collect())
     assert "boss@" not in got[0] and "[EMAIL]" in got[0] and got[51] is None and got[12] == dict(ROWS)[12] and "secretword" in got[52]
     assert P.op1_pmi_sanitiser(d.limit(0)).count() == 0
 

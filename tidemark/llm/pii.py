@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bloom
 from tidemark.llm import text as W
-from tidemark.llm.shared import written
+from tidemark.llm.shared import own, written
 
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
 #: The base patterns' parts.
@@ -35,7 +35,7 @@ DIGIT = re.compile(r"[0-9]")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-#: Words on each side of an entity that count as near, looked for within so many characters.
+#: Words on each side of an entity that count as near, and characters of a text that are looked through for them at a time.
 NEAR, REACH = 8, 300
 #: Terms have so many characters at least and no digits.
 LEAST = 4
@@ -88,10 +88,21 @@ def _hash(words: list[str]) -> np.ndarray:
 
 
 def _near(t: str, a: int, b: int) -> list[str]:
-    """The words close to a span; one that the window cuts doesn't count."""
-    left, right = t[max(0, a - REACH) : a].translate(LOWER), t[b : b + REACH].translate(LOWER)
-    before = [m[0] for m in WORD.finditer(left) if m.start() > 0 or a <= REACH]
-    after = [m[0] for m in WORD.finditer(right) if m.end() < REACH]
+    """The NEAR words before a span and after it, however far they are: the stretches looked through double until they hold them."""
+    reach = REACH
+    while True:
+        at = max(0, a - reach)
+        before = [m[0] for m in WORD.finditer(t[at:a].translate(LOWER)) if m.start() > 0 or not at]
+        if not at or len(before) >= NEAR:
+            break
+        reach *= 2
+    reach = REACH
+    while True:
+        end = b + reach
+        after = [m[0] for m in WORD.finditer(t[b:end].translate(LOWER)) if m.end() < reach or end >= len(t)]
+        if end >= len(t) or len(after) >= NEAR:
+            break
+        reach *= 2
     return before[-NEAR:] + after[:NEAR]
 
 
@@ -216,12 +227,12 @@ def replaced(t: str, extra: list[tuple[int, int, int]]) -> str:
 def sanitise(docs: DataFrame) -> DataFrame:
     """The documents with their texts' personal data and telling terms replaced; null texts stay null."""
     _, extra = scan(docs)
-    names = [c for c in docs.columns if c not in ("_key", "extra")]
-    schema = docs.select(names).schema
+    o, names, schema = own(docs), docs.columns, docs.schema
 
     def run(batches):
         for b in batches:
-            texts = [t if t is None else replaced(t, [(s["start"], s["rank"], s["end"]) for s in e or ()]) for t, e in zip(b.column("text").to_pylist(), b.column("extra").to_pylist(), strict=True)]
+            texts = [t if t is None else replaced(t, [(s["start"], s["rank"], s["end"]) for s in e or ()]) for t, e in zip(b.column("text").to_pylist(), b.column(f"{o}extra").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in names], names=names)
 
-    return keyed(docs.select(names)).join(extra, "_key", "left").drop("_key").mapInArrow(run, schema)
+    keyed_docs = docs.withColumn(f"{o}key", F.xxhash64("doc_id", "text"))
+    return keyed_docs.join(extra.select(F.col("_key").alias(f"{o}key"), F.col("extra").alias(f"{o}extra")), f"{o}key", "left").drop(f"{o}key").mapInArrow(run, schema)

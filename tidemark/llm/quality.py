@@ -10,7 +10,7 @@ documents, and those as frequent on both sides of every grade boundary (by a two
 many ordinary words don't outweigh a few telling ones. Scoring reads every document whole.
 
 Null and empty texts have no features and get score 0. Labels that are null, or whose document is missing, don't count; without any usable label
-every document passes. Repeated rows give repeated results, and extra columns pass through.
+every document passes. Repeated rows give repeated results, and extra columns pass through (``score`` replaces ones named expected_grade or p_good).
 """
 
 from collections.abc import Iterator
@@ -174,6 +174,10 @@ def fit(docs: DataFrame, grades: DataFrame, max_labels: int = MAX_LABELS) -> tup
     return full, thresholds
 
 
+def _scores(b: pa.RecordBatch, weights: np.ndarray) -> np.ndarray:
+    return np.array([weights[p].sum(dtype=np.float64) for p in features(*W.buffers(b.column("text")))])
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
     """Adds expected_grade and p_good (the probability of the best grade)."""
     names = [c for c in docs.columns if c not in ("expected_grade", "p_good")]
@@ -186,13 +190,26 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None) -> DataF
     def run(batches):
         for batch in batches:
             for b in W.parts(batch):
-                s = np.array([weights[p].sum(dtype=np.float64) for p in features(*W.buffers(b.column("text")))])
-                t = tails(s, thresholds)
+                t = tails(_scores(b, weights), thresholds)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(t.sum(axis=1)), pa.array(t[:, -1])], names=[*names, "expected_grade", "p_good"])
 
     return docs.mapInArrow(run, schema)
 
 
+def good(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, least: float = KEEP) -> DataFrame:
+    """The documents that are of the best grade with a probability of at least ``least``, with the columns they have."""
+    if model is None:
+        return docs
+    weights, thresholds = model
+
+    def run(batches):
+        for batch in batches:
+            for b in W.parts(batch):
+                yield b.filter(pa.array(tails(_scores(b, weights), thresholds)[:, -1] >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def grades(labels: DataFrame) -> DataFrame:
     """Toxic is 0, else poor 1 and good 2."""
     return labels.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).when(F.col("quality") == 0, 1).alias("grade"))

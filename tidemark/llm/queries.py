@@ -1,6 +1,6 @@
 """The queries of this subpackage: one opN_<name> for each operator, and the pipeline."""
 
-from tidemark.llm import sql
+from tidemark.llm import pipeline, sql
 from tidemark.llm.decontam import op6_suffix_decontam
 from tidemark.llm.link_graph import op10_link_graph
 from tidemark.llm.mixing import op4_raking, op4_sql
@@ -15,8 +15,6 @@ from tidemark.llm.shared import table
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
     return {
         "op1_pmi_sanitiser": lambda spark, d: op1_pmi_sanitiser(table(spark, d, "documents")),
         "op2_ordinal_quality": lambda spark, d: op2_ordinal_quality(table(spark, d, "documents"), table(spark, d, "labels")),
@@ -26,7 +24,7 @@ def queries() -> dict:
         "op6_suffix_decontam": lambda spark, d: op6_suffix_decontam(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op7_markov_secrets": lambda spark, d: op7_markov_secrets(table(spark, d, "documents")),
         "op8_ogg": lambda spark, d: op8_ogg(table(spark, d, "documents")),
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
         "op9_elias_fano_lm": lambda spark, d: op9_elias_fano_lm(table(spark, d, "documents")),
         "op10_link_graph": lambda spark, d: op10_link_graph(table(spark, d, "pages")),
     }
