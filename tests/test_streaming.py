@@ -1,7 +1,9 @@
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tests.test_store import rows
+from tidemark import schemas
 from tidemark.sources.store import LogStore
 from tidemark.streaming import ingest as S
 
@@ -29,7 +31,44 @@ def test_ingest_twice_and_tail(spark, tmp_path):
         S.run_to_end(lambda: S.ingest(source(spark, src), store, str(tmp_path / "cp"), "q"))
     S.run_to_end(lambda: S.ingest(source(spark, src), store, str(tmp_path / "cp"), "q"))
     assert sorted((r.seq, r.event_id) for r in store.events().collect()) == [(1, "a"), (2, "b"), (3, "c")]
-    assert sorted(r.seq for r in collected(S.tail(spark, store), tmp_path, "tail_rows")) == [1, 2, 3]
+    seen = []
+    follow = lambda: S.run_to_end(lambda: S.tail(store, lambda df, i: seen.extend(sorted(r.seq for r in df.collect())), str(tmp_path / "tail"), "tail_rows"))
+    follow()
+    assert seen == [1, 2, 3]
+    # data that was never committed isn't delivered, and compaction delivers nothing again
+    (tmp_path / "log" / "events" / "append=lost").mkdir()
+    store._read([f"events/{p.name}" for p in (tmp_path / "log" / "events").iterdir() if p.name != "append=lost"], schemas.STORED).write.mode("overwrite").parquet(str(tmp_path / "log" / "events" / "append=lost"))
+    store.compact()
+    follow()
+    assert seen == [1, 2, 3]
+    store.append(rows(spark, ["z"]))
+    follow()
+    assert seen == [1, 2, 3, 4]
+
+
+def test_replay_after_compaction(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path / "log"), default_mode="none")
+    for i in range(3):
+        store.append(rows(spark, ["a", "a"]), source=f"q/{i}")
+    store.append(rows(spark, ["x"]), source="by-hand")
+    store.compact()
+    store.compact()
+    for source in ("q/2", "q/0", "by-hand"):
+        store.append(rows(spark, ["a", "a"]), source=source)
+    assert store.events().count() == 7
+    store.append(rows(spark, ["a", "a"]), source="q/3")
+    assert store.events().count() == 9
+
+
+def test_route_loses_nothing(spark, tmp_path):
+    src = str(tmp_path / "in")
+    put(spark, src, [("a", "x", None), ("b", "nowhere", None), ("c", "x", None)])
+    stores, rest = {"x": LogStore(spark, str(tmp_path / "x"))}, LogStore(spark, str(tmp_path / "rest"))
+    with pytest.raises(StreamingQueryException, match="without a store"):
+        S.route(source(spark, src), F.col("topic"), stores, str(tmp_path / "cp"), "r").awaitTermination()
+    assert stores["x"].events().count() == 0
+    S.route(source(spark, src), F.col("topic"), stores, str(tmp_path / "cp"), "r", rest).awaitTermination()
+    assert stores["x"].events().count() == 2 and [r.event_id for r in rest.events().collect()] == ["b"]
 
 
 def test_route(spark, tmp_path):

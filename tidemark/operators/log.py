@@ -57,7 +57,8 @@ def allocate(rows: DataFrame, heads: DataFrame | None = None, buckets: int = 1)
         place = F.row_number().over(Window.partitionBy(*JOIN, "_b").orderBy("ordinal")).cast("long")
         rows = cut.withColumn("_place", place).join(counts, [*JOIN, "_b"]).withColumn("_place", F.col("_place") + F.col("_before")).drop("_b", "_before")
     else:
-        rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*JOIN).orderBy("ordinal")).cast("long"))
+        # by the columns themselves, so that a filter on a stream goes below the numbering
+        rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*STREAM).orderBy("ordinal")).cast("long"))
     if heads is not None:
         rows = rows.join(keyed(heads).select(*JOIN, "next_seq"), list(JOIN), "left").withColumn("_place", F.col("_place") + F.coalesce("next_seq", F.lit(0))).drop("next_seq")
     return rows.withColumnRenamed("_place", "seq")
@@ -72,8 +73,10 @@ def plan_append(batch: DataFrame, stored: DataFrame | None = None, heads: DataFr
     """The batch with ``seq`` and ``is_new``: new records get the next sequences of their stream in the order of their ordinals; a record
     whose id the stream has, or which an earlier one of the batch has, gets that one's sequence and is not new.
 
-    stored: streams, event_id and seq of what the log holds. mode: a column of the batch, see ``policy``."""
-    rows = first_ordinal(keyed(normal(batch)), mode)
+    stored: streams, event_id and seq of what the log holds. mode: a column of the batch, see ``policy``. All is planned over ordinals, streams and ids;
+    the other columns join once, at the end."""
+    batch = normal(batch)
+    rows = first_ordinal(keyed(batch.select("ordinal", *STREAM, "event_id")), mode)
     firsts = rows.where("ordinal = first")
     if stored is not None:
         ids = keyed(stored).groupBy(*JOIN, "event_id").agg(F.min("seq").alias("_old"))
@@ -85,8 +88,8 @@ def plan_append(batch: DataFrame, stored: DataFrame | None = None, heads: DataFr
     new = allocate(firsts.where("_old is null"), heads, buckets).select("first", F.col("seq").alias("_seq"))
     old = firsts.where("_old is not null").select("first", F.col("_old").alias("_seq"))
     got = new.withColumn("_new", F.lit(True)).unionByName(old.withColumn("_new", F.lit(False)))
-    out = rows.join(got, "first").withColumns({"seq": F.col("_seq"), "is_new": F.col("_new") & (F.col("ordinal") == F.col("first"))})
-    return out.drop("_key", "_seq", "_new", "first")
+    planned = rows.join(got, "first").select("ordinal", F.col("_seq").alias("seq"), (F.col("_new") & (F.col("ordinal") == F.col("first"))).alias("is_new"))
+    return batch.join(planned, "ordinal")
 
 
 def heads(events: DataFrame) -> DataFrame:

@@ -3,12 +3,12 @@
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from tidemark import schemas
-from tidemark.sources.store import LogStore
+from tidemark import errors
+from tidemark.sources.store import FEED, LogStore
 
 
 def ingest(stream: DataFrame, store: LogStore, checkpoint: str, name: str, once: bool = True) -> StreamingQuery:
@@ -17,21 +17,35 @@ def ingest(stream: DataFrame, store: LogStore, checkpoint: str, name: str, once:
     return (write.trigger(availableNow=True) if once else write).start()
 
 
-def route(stream: DataFrame, destination, stores: dict[str, LogStore], checkpoint: str, name: str) -> StreamingQuery:
-    """Appends each record to its destination's store."""
+def route(stream: DataFrame, destination, stores: dict[str, LogStore], checkpoint: str, name: str, unknown: LogStore | None = None) -> StreamingQuery:
+    """Appends each record to its destination's store; those whose destination has none go to ``unknown``, and without it fail the micro-batch, so that none is lost."""
+    known = F.coalesce(destination.isin(*stores), F.lit(False)) if stores else F.lit(False)
 
     def write(df: DataFrame, i: int) -> None:
-        routed = df.withColumn("_to", destination)
-        for to, store in stores.items():
-            store.append(routed.where(F.col("_to") == to).drop("_to"), source=f"{name}/{i}")
+        routed = df.withColumn("_to", F.when(known, destination)).persist()
+        try:
+            if unknown is None and (lost := routed.where("_to is null").count()):
+                raise errors.Internal(f"{lost} records have a destination without a store")
+            for to, store in [*stores.items(), *([(None, unknown)] if unknown else [])]:
+                store.append(routed.where(F.col("_to").eqNullSafe(F.lit(to))).drop("_to"), source=f"{name}/{i}")
+        finally:
+            routed.unpersist()
 
     return stream.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
 
 
-def tail(spark: SparkSession, store: LogStore) -> DataFrame:
-    """A store's new rows as they are committed. Files are listed by Spark; each append is one folder, written before its commit, so a row may be seen
-    shortly before a reader of the store sees it."""
-    return spark.readStream.schema(schemas.STORED).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{store.path}/events").where("is_new")
+def tail(store: LogStore, write: Callable[[DataFrame, int], None], checkpoint: str, name: str, once: bool = True, commits: int = 1000) -> StreamingQuery:
+    """Hands the events of new appends to ``write``, with the micro-batch's number, as they are committed, each once.
+
+    It follows the store's commits, so what was never committed isn't seen, and a compaction, which adds no events, delivers none. A micro-batch holds so many commits at most."""
+
+    def each(df: DataFrame, i: int) -> None:
+        if paths := [r.events for r in df.where("kind = 'append'").orderBy("version").collect()]:
+            write(store.appended(paths), i)
+
+    feed = store.spark.readStream.schema(FEED).option("maxFilesPerTrigger", commits).json(f"{store.path}/feed")
+    out = feed.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(each)
+    return (out.trigger(availableNow=True) if once else out).start()
 
 
 def deduped(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:

@@ -64,7 +64,7 @@ def sink_from_env(name: str = "TIDEMARK_TELEMETRY") -> Sink:
 
 
 class Instrumented:
-    """A store with telemetry. Appends and reads are timed, after they ran; loading a checkpoint isn't reported."""
+    """A store with telemetry, with the store's own results. Appends of no records and loading a checkpoint aren't reported."""
 
     def __init__(self, store, sink: Sink | None = None) -> None:
         self.store, self.sink = store, sink or sink_from_env()
@@ -85,20 +85,23 @@ class Instrumented:
         return topic if not key else f"{topic}/{key}"
 
     def append(self, batch, source=None):
-        names = [r.topic for r in batch.select("topic").distinct().limit(2).collect()]
-        out, s = self._call("append", lambda: self.store.append(batch, source))
-        self.sink.on_append(names[0] if len(names) == 1 else "*", out.count(), s)
+        what = []
+        out, s = self._call("append", lambda: self.store.append(batch, source, lambda *x: what.extend(x)))
+        if what:
+            self.sink.on_append(*what, s)
         return out
 
+    def _read(self, operation, name, run):
+        """The rows, which a read's limit bounds, are taken within the timing and come back as a DataFrame."""
+        (schema, rows), s = self._call(operation, lambda: ((df := run()).schema, df.collect()))
+        self.sink.on_read(name, len(rows), s)
+        return self.store.spark.createDataFrame(rows, schema)
+
     def read_from(self, topic, key, after, limit):
-        out, s = self._call("read_from", lambda: self.store.read_from(topic, key, after, limit).collect())
-        self.sink.on_read(self._name(topic, key), len(out), s)
-        return out
+        return self._read("read_from", self._name(topic, key), lambda: self.store.read_from(topic, key, after, limit))
 
     def read_from_topic(self, topic, key, after, limit):
-        out, s = self._call("read_from_topic", lambda: self.store.read_from_topic(topic, key, after, limit).collect())
-        self.sink.on_read(topic, len(out), s)
-        return out
+        return self._read("read_from_topic", topic, lambda: self.store.read_from_topic(topic, key, after, limit))
 
     def commit_checkpoint(self, subscription, topic, key, seq):
         self._call("commit_checkpoint", lambda: self.store.commit_checkpoint(subscription, topic, key, seq))
