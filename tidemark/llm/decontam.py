@@ -1,15 +1,18 @@
 """Benchmark decontamination by suffix arrays over the training texts.
 
 Each task turns its documents, shard by shard, into one sequence of word codes, sorts the shard's suffixes and binary-searches every
-benchmark suffix in them. A shard holds a bounded number of words (one document at least), so memory doesn't grow with the input, and
-no text is shuffled. The benchmark goes to the tasks in blocks of bounded size, one pass over the documents each.
+benchmark suffix in them; what starts alike is followed to its end on both sides, which gives the longest verbatim matches and where they
+lie. A shard holds a bounded number of words (one document at least), so memory doesn't grow with the input, and no text is shuffled. The
+benchmark goes to the tasks in blocks of bounded size, one pass over the documents each; the driver holds one block at a time, and with
+several each pass is written before the next block is fetched.
 
 Null and empty texts have no words and no hits. Items without words match nothing; items with one id and several texts count as one
-item. Repeated documents are judged alike, each row by itself. Extra columns pass through ``remove``.
+item. Items without id make hits and remove documents, but are no members of id lists or counts. Repeated documents are judged alike, each row by
+itself. Extra columns pass through ``remove``.
 """
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import text as W
+from tidemark.llm.shared import written
 
 #: Consecutive words that count as a match; an item of fewer words must occur whole.
 WINDOW = 10
 #: Words in a shard's suffix array, and in a block of the benchmark.
 SHARD_WORDS = 1 << 20
 BLOCK_CHARS = 16 << 20
+#: Pairs of a training and a benchmark position that are followed at once.
+PAIRS = 4 << 20
 
 MATCHES = "doc_id long, doc_row long, doc_start long, item_id string, item_start long, n_words long"
 HITS = "doc_id long, n_words long, n_hit long, items array<string>"
@@ -41,16 +47,15 @@ class Suffixes:
         self.item = np.repeat(np.arange(len(items)), np.diff(rows))
         self.place = np.arange(len(hashes)) - rows[self.item] if len(hashes) else np.zeros(0, np.int64)
         self.left = rows[1:][self.item] - np.arange(len(hashes)) if len(hashes) else self.place
-        #: For each window length: the windows as rows of codes, sorted, and the suffixes that start with each.
-        self.windows: list[tuple[int, np.ndarray, list[np.ndarray]]] = []
+        #: For each window length: the windows as rows of codes, sorted; all suffixes in the order of the windows that they start with, and where each window's begin.
+        self.windows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         length = np.minimum(np.diff(rows), window)[self.item] if len(hashes) else self.place
         for n in np.unique(length):
             at = np.flatnonzero((length == n) & (self.left >= n))
             grams = self.codes[at[:, None] + np.arange(n)]
             distinct, which = np.unique(grams, axis=0, return_inverse=True)
             order = np.argsort(which.ravel(), kind="stable")
-            groups = np.split(at[order], np.cumsum(np.bincount(which.ravel()))[:-1])
-            self.windows.append((int(n), distinct, groups))
+            self.windows.append((int(n), distinct, at[order], np.append(0, np.cumsum(np.bincount(which.ravel())))))
 
     def codes_of(self, hashes: np.ndarray) -> np.ndarray:
         """Codes of a training text's words; -1 for words that no item has, which no match contains."""
@@ -97,19 +102,44 @@ def _search(codes: np.ndarray, array: np.ndarray, grams: np.ndarray, upper: bool
 
 
 def find(codes: np.ndarray, block: Suffixes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each window length: (length, positions in the shard, distinct window that starts there)."""
+    """For each window length: (length, positions in the shard, benchmark suffix that starts with the same window), some PAIRS at a time."""
     known = codes >= 0
-    for n, grams, _ in block.windows:
+    for n, grams, suffixes, begin in block.windows:
         run = np.concatenate([[0], np.cumsum(known)])
         starts = np.flatnonzero(run[n:] - run[:-n] == n) if len(codes) >= n else np.zeros(0, np.int64)
         array = suffix_array(codes, starts, n)
         if not len(array):
             continue
         low, high = _search(codes, array, grams, False), _search(codes, array, grams, True)
-        found = high - low
+        found, size = high - low, np.diff(begin)
         which = np.repeat(np.arange(len(grams)), found)
-        within = np.arange(len(which)) - np.repeat(np.cumsum(found) - found, found)
-        yield n, array[low[which] + within], which
+        at = array[low[which] + _within(found)]
+        part = np.cumsum(size[which]) // PAIRS
+        for cut in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1) if len(at) else ():
+            w = which[cut]
+            yield n, np.repeat(at[cut], size[w]), suffixes[np.repeat(begin[w], size[w]) + _within(size[w])]
+
+
+def _within(sizes: np.ndarray) -> np.ndarray:
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def longest(codes: np.ndarray, block: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position in the shard, position in the benchmark, words) of each verbatim match that can't be made longer on either side."""
+    own, last = np.append(block.codes, -2), np.append(block.item, -1)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for n, at, test in find(codes, block):
+        left = (at == 0) | (test == 0) | (codes[at - 1] != own[test - 1]) | (last[test - 1] != last[test])
+        at, test = at[left], test[left]
+        size, grow = np.full(len(at), n), np.arange(len(at))
+        while len(grow):
+            x, y = at[grow] + size[grow], test[grow] + size[grow]
+            more = (x < len(codes)) & (y < len(block.codes))
+            more[more] = (codes[x[more]] == own[y[more]]) & (last[y[more]] == last[test[grow][more]])
+            grow = grow[more]
+            size[grow] += 1
+        out.append((at, test, size))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -145,23 +175,17 @@ def _spread(codes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _hits(batches: Iterator[pa.RecordBatch], block: Suffixes) -> Iterator[pa.RecordBatch]:
     for ids, hashes, rows in _shards(batches):
-        codes, owner, begin = _spread(block.codes_of(hashes), rows)
+        codes, owner, _ = _spread(block.codes_of(hashes), rows)
+        at, test, size = longest(codes, block)
         cover = np.zeros(len(codes) + 1, np.int64)
-        pairs = []
-        for n, at, which in find(codes, block):
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + n, -1)
-            groups = next(g for m, _, g in block.windows if m == n)
-            seen = np.unique(owner[at] * len(groups) + which)
-            items = [np.unique(block.item[g]) for g in groups]
-            pairs += [(int(x // len(groups)), items[x % len(groups)]) for x in seen]
+        np.add.at(cover, at, 1)
+        np.add.at(cover, at + size, -1)
         hit = np.bincount(owner[np.flatnonzero(np.cumsum(cover[:-1]) > 0)], minlength=len(ids))
-        found: dict[int, set] = {}
-        for d, items in pairs:
-            found.setdefault(d, set()).update(block.ids[i] for i in items)
+        items: list[set] = [set() for _ in ids]
+        for x in np.unique(owner[at] * len(block.ids) + block.item[test]):
+            items[x // len(block.ids)].add(block.ids[x % len(block.ids)])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(np.diff(rows), pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(found.get(d, ())) for d in range(len(ids))], pa.list_(pa.string()))],
-            names=["doc_id", "n_words", "n_hit", "items"],
+            [pa.array(ids, pa.int64()), pa.array(np.diff(rows), pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(x - {None}) for x in items], pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "items"]
         )
 
 
@@ -169,58 +193,46 @@ def _matches(batches: Iterator[pa.RecordBatch], block: Suffixes) -> Iterator[pa.
     row = 0
     for ids, hashes, rows in _shards(batches):
         codes, owner, begin = _spread(block.codes_of(hashes), rows)
-        own = np.append(block.codes, -2)
-        last = np.append(block.item, -1)
-        out = []
-        for n, at, which in find(codes, block):
-            groups = next(g for m, _, g in block.windows if m == n)
-            sizes = np.array([len(g) for g in groups])
-            test = np.concatenate(groups)[np.repeat((np.cumsum(sizes) - sizes)[which], sizes[which]) + _within(sizes[which])]
-            at = np.repeat(at, sizes[which])
-            left = (at == 0) | (test == 0) | (codes[at - 1] != own[test - 1]) | (last[test - 1] != last[test])
-            at, test = at[left], test[left]  # those that can't grow to the left
-            size = np.full(len(at), n)
-            grow = np.arange(len(at))
-            while len(grow):
-                x, y = at[grow] + size[grow], test[grow] + size[grow]
-                more = (x < len(codes)) & (y < len(block.codes))
-                more[more] = (codes[x[more]] == own[y[more]]) & (last[y[more]] == last[test[grow][more]])
-                grow = grow[more]
-                size[grow] += 1
-            out.append((at, test, size))
-        if out:
-            at, test, size = (np.concatenate(x) for x in zip(*out, strict=True))
-            doc = owner[at]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[d] for d in doc], pa.int64()), pa.array(row + doc, pa.int64()), pa.array(at - begin[doc], pa.int64()), pa.array([block.ids[block.item[t]] for t in test], pa.string()), pa.array(block.place[test], pa.int64()), pa.array(size, pa.int64())],
-                names=["doc_id", "doc_row", "doc_start", "item_id", "item_start", "n_words"],
-            )
+        at, test, size = longest(codes, block)
+        doc = owner[at]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([ids[d] for d in doc], pa.int64()), pa.array(row + doc, pa.int64()), pa.array(at - begin[doc], pa.int64()), pa.array([block.ids[block.item[t]] for t in test], pa.string()), pa.array(block.place[test], pa.int64()), pa.array(size, pa.int64())],
+            names=["doc_id", "doc_row", "doc_start", "item_id", "item_start", "n_words"],
+        )
         row += len(ids)
 
 
-def _within(sizes: np.ndarray) -> np.ndarray:
-    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-
-
-def blocks(benchmark: DataFrame, window: int = WINDOW, chars: int = BLOCK_CHARS) -> list[Suffixes]:
-    """The benchmark as blocks of at most ``chars`` characters (one item at least) that go to the tasks one after another."""
-    out, rows, held = [], [], 0
-    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t")).where("i is not null").toLocalIterator():
+def blocks(benchmark: DataFrame, window: int = WINDOW, chars: int = BLOCK_CHARS) -> Iterator[Suffixes]:
+    """The benchmark as blocks of at most ``chars`` characters (one item at least), one at a time; one empty block where there are no items."""
+    rows, held, made = [], 0, False
+    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t")).toLocalIterator():
         if rows and held + len(r.t) > chars:
-            out.append(Suffixes(rows, window))
-            rows, held = [], 0
+            yield Suffixes(rows, window)
+            rows, held, made = [], 0, True
         rows.append((r.i, r.t))
         held += len(r.t)
-    return [*out, Suffixes(rows, window)]
+    if rows or not made:
+        yield Suffixes(rows, window)
+
+
+def _passes(benchmark: DataFrame, window: int, run: Callable[[Suffixes], DataFrame], name: str) -> list[DataFrame]:
+    """What ``run`` makes with each block; written, if there are several, before the next block is fetched."""
+    todo = blocks(benchmark, window)
+    first, second = next(todo), next(todo, None)
+    if second is None:
+        return [run(first)]
+    out = [written(run(first), name)]
+    del first
+    while second is not None:
+        out.append(written(run(second), name))
+        second = next(todo, None)
+    return out
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Longest verbatim matches of at least a window: document (and its row in the task), item, word positions in both, words."""
-    parts = [docs.select("doc_id", "text").mapInArrow(lambda it, b=b: _matches(it, b), MATCHES) for b in blocks(benchmark, window)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    texts = docs.select("doc_id", "text")
+    return reduce(DataFrame.unionByName, _passes(benchmark, window, lambda b: texts.mapInArrow(lambda it: _matches(it, b), MATCHES), "op6-matches"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -228,14 +240,17 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
     With several blocks ``n_hit`` needs each block's positions, so the documents pass once more for each block and the union of the
     covered words is taken from ``matches``."""
-    parts = blocks(benchmark, window)
-    if len(parts) == 1:
-        return docs.select("doc_id", "text").mapInArrow(lambda it: _hits(it, parts[0]), HITS)
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_k"))
-    spans = None
-    for b in parts:
-        one = keyed.select(F.col("_k").alias("doc_id"), "text").mapInArrow(lambda it, b=b: _matches(it, b), MATCHES)
-        spans = one if spans is None else spans.unionByName(one)
+    found = {}
+
+    def run(block: Suffixes) -> DataFrame:
+        found["whole"] = lambda: docs.select("doc_id", "text").mapInArrow(lambda it: _hits(it, block), HITS)
+        return keyed.select(F.col("_k").alias("doc_id"), "text").mapInArrow(lambda it: _matches(it, block), MATCHES)
+
+    parts = _passes(benchmark, window, run, "op6-matches")
+    if len(parts) == 1:
+        return found["whole"]()
+    spans = reduce(DataFrame.unionByName, parts)
     covered = spans.select(F.col("doc_id").alias("_k"), "item_id", F.explode(F.sequence("doc_start", F.expr("doc_start + n_words - 1"))).alias("p")).groupBy("_k").agg(F.countDistinct("p").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"))
     counts = keyed.select("doc_id", "_k", "text").mapInArrow(_counts, "doc_id long, _k long, n_words long")
     return counts.join(covered, "_k", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
@@ -249,13 +264,18 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without those that hold a window of the benchmark; the filter runs where the document is read."""
-    parts = blocks(benchmark, window)
-    schema = docs.schema
-    out = docs
-    for b in parts:
-        out = out.mapInArrow(lambda it, b=b: _clean(it, b), schema)
-    return out
+    """The documents without those that hold a window of the benchmark; the filter runs where the document is read, block after block on what is left."""
+    left = [docs]
+
+    def run(block: Suffixes) -> DataFrame:
+        return left[-1].mapInArrow(lambda it: _clean(it, block), docs.schema)
+
+    todo = blocks(benchmark, window)
+    block, after = next(todo), next(todo, None)
+    while after is not None:
+        left.append(written(run(block), "op6-left"))
+        block, after = after, next(todo, None)
+    return run(block)
 
 
 def _clean(batches: Iterator[pa.RecordBatch], block: Suffixes) -> Iterator[pa.RecordBatch]:
