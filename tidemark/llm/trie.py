@@ -1,136 +1,170 @@
-"""A bigram trie in compact levels: Elias-Fano sequences over flat little-endian buffers, which can be a memory-mapped file.
+"""A trigram trie in compact levels: Elias-Fano sequences over flat little-endian buffers, which can be a memory-mapped file.
 
-Level 1 holds the contexts' hashes and exact counts, level 2 the successors of each context as fingerprints relative to it, with counts
-quantised to a byte. Pointers from level 1 into level 2 are monotone. A lookup searches a context's hash, and then the successor within
-that context's range only.
+Level 1 holds words' hashes and exact counts, levels 2 and 3 the successors of each node above as fingerprints relative to it. Every node of
+levels 2 and 3 has its smoothed probability, every context its back-off weight, both quantised to a byte. Pointers from one level into the next are
+monotone; successors are too, since each context's fingerprints are added to the last number of the context before. A lookup takes the
+bounds of a context's range from the pointers and finds the successor within them.
 """
 
 import struct
 
 import numpy as np
 
-#: Counts up to EXACT are their own code; larger ones are on a scale of equal ratios.
-EXACT = 64
-RATIO = np.log(1e12 / EXACT) / (255 - EXACT)
-CODEBOOK = np.concatenate([np.arange(EXACT + 1), EXACT * np.exp(RATIO * np.arange(1, 256 - EXACT))])
+#: Codes 1 to 255 are DECADES powers of ten up to 1, at equal ratios; 0 is nothing.
+DECADES = 7
+_STEPS = 254 / DECADES
+CODEBOOK = np.append(0.0, 10.0 ** ((np.arange(1, 256) - 255) / _STEPS))
 
+_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
+_ONES = _BITS.sum(axis=1)
+#: The place of the k-th set bit of each byte.
+_PLACE = np.argsort(1 - _BITS, axis=1, kind="stable")
 
-def quantise(counts: np.ndarray) -> np.ndarray:
-    """Codes of counts; 0 is a count of none."""
-    large = EXACT + np.rint(np.log(np.maximum(counts, EXACT) / EXACT) / RATIO)
-    return np.where(counts <= EXACT, counts, np.minimum(large, 255)).astype(np.uint8)
+
+def quantise(p: np.ndarray) -> np.ndarray:
+    """Codes of numbers in [0, 1]."""
+    p = np.asarray(p, np.float64)
+    return np.where(p > 0, np.clip(255 + np.rint(np.log10(np.maximum(p, 1e-300)) * _STEPS), 1, 255), 0).astype(np.uint8)
 
 
 class EliasFano:
-    """A non-decreasing sequence of 64-bit numbers. Low bits, in whole bytes, lie side by side; high bits are unary gaps in a bit vector."""
+    """A non-decreasing sequence of 64-bit numbers. Low bits, in whole bytes, lie side by side; high bits are unary gaps in a bit vector, with the
+    number of set bits before each 64 of them, by which the k-th set or clear bit is found without unpacking it."""
 
-    HEAD = struct.Struct("<QQQ")  # numbers, bytes of low bits each, bytes of the bit vector
+    HEAD = struct.Struct("<QQQ")  # numbers, bytes of low bits each, words of the bit vector
 
     def __init__(self, buffer, at: int = 0) -> None:
-        self.n, self.width, bits = self.HEAD.unpack_from(buffer, at)
+        self.n, self.width, words = self.HEAD.unpack_from(buffer, at)
         at += self.HEAD.size
         self._low = np.frombuffer(buffer, np.uint8, self.n * self.width, at).reshape(self.n, self.width)
         at += self.n * self.width
-        self._bits = np.frombuffer(buffer, np.uint8, bits, at)
-        self.end = at + bits
-        self._open()
-
-    def _open(self) -> None:
-        bits = np.unpackbits(self._bits, bitorder="little")
-        self._zeros = np.flatnonzero(bits == 0)
-        self._ones = np.flatnonzero(bits)[: self.n]
-        low = np.zeros((self.n, 8), np.uint8)
-        low[:, : self.width] = self._low
-        self._lows = low.view("<u8").ravel()
+        self._bits = np.frombuffer(buffer, np.uint8, 8 * words, at).reshape(words, 8)
+        at += 8 * words
+        self._ones = np.frombuffer(buffer, "<u4", words, at)
+        self.end = at + 4 * words
 
     @classmethod
     def pack(cls, values: np.ndarray) -> bytes:
-        values = values.astype(np.uint64)
+        values = np.asarray(values).astype(np.uint64)
         n = len(values)
         top = int(values[-1]) + 1 if n else 1
         width = -(-max(0, (top // max(n, 1)).bit_length() - 1) // 8)
-        shift = np.uint64(8 * width)
-        high = (values >> shift if width < 8 else values * np.uint64(0)).astype(np.int64)
-        bits = np.zeros((int(high[-1]) if n else 0) + n + 1, np.uint8)
+        high = (values >> np.uint64(8 * width)).astype(np.int64) if width < 8 else np.zeros(n, np.int64)
+        words = ((int(high[-1]) if n else 0) + n + 64) // 64
+        bits = np.zeros(64 * words, np.uint8)
         bits[high + np.arange(n)] = 1
+        ones = np.append(0, np.cumsum(bits.reshape(words, 64).sum(axis=1)))[:-1].astype("<u4")
         low = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(n, 8)[:, :width])
-        packed = np.packbits(bits, bitorder="little").tobytes()
-        return cls.HEAD.pack(n, width, len(packed)) + low.tobytes() + packed
+        return cls.HEAD.pack(n, width, words) + low.tobytes() + np.packbits(bits, bitorder="little").tobytes() + ones.tobytes()
+
+    def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
+        """The place of the k-th set (or clear) bit, for each k."""
+        before = self._ones if one else 64 * np.arange(len(self._ones)) - self._ones
+        word = np.searchsorted(before, k, "right") - 1
+        rest = k - before[word]
+        bytes_ = self._bits[word] if one else ~self._bits[word]
+        count = np.cumsum(_ONES[bytes_], axis=1)
+        byte = (count <= rest[:, None]).sum(axis=1)
+        rows = np.arange(len(k))
+        rest = rest - np.where(byte > 0, count[rows, np.maximum(byte - 1, 0)], 0)
+        return 64 * word + 8 * byte + _PLACE[bytes_[rows, byte], rest]
+
+    def _lows(self, i: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), np.uint64)
+        for b in range(self.width):
+            out |= self._low[i, b].astype(np.uint64) << np.uint64(8 * b)
+        return out
 
     def get(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)
         if self.width == 8:
-            return self._lows[i]
-        return ((self._ones[i] - i).astype(np.uint64) << np.uint64(8 * self.width)) | self._lows[i]
-
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """The place of the first number that is at least x, for each x. High bits give a short range, which low bits are searched in."""
-        x = np.asarray(x, np.uint64)
-        if not self.n:
-            return np.zeros(len(x), np.int64)
-        high = (x >> np.uint64(8 * self.width) if self.width < 8 else x * np.uint64(0)).astype(np.int64)
-        last = len(self._zeros)
-        over = high >= last
-        h = np.minimum(high, last - 1)
-        low = np.where(h > 0, self._zeros[np.maximum(h - 1, 0)] - (h - 1), 0)
-        up = np.minimum(self._zeros[h] - h, self.n)
-        low = np.where(over, self.n, np.minimum(low, self.n))
-        up = np.where(over, self.n, up)
-        want = x & np.uint64((1 << (8 * self.width)) - 1) if self.width < 8 else x
+            return self._lows(i)
+        return ((self._select(i, True) - i).astype(np.uint64) << np.uint64(8 * self.width)) | self._lows(i)
+
+    def find(self, x: np.ndarray, low: np.ndarray, up: np.ndarray) -> np.ndarray:
+        """The place of each x within [low, up), -1 where it isn't there. High bits give a short range, which low bits are searched in."""
+        x, low, up = np.asarray(x, np.uint64), np.asarray(low, np.int64), np.asarray(up, np.int64)
+        if not self.n or not len(x):
+            return np.full(len(x), -1)
+        want = x
+        if self.width < 8:
+            last = 64 * len(self._ones) - self.n - 1  # clear bits, but the last
+            high = np.minimum(x >> np.uint64(8 * self.width), np.uint64(last + 1)).astype(np.int64)
+            want = x & np.uint64((1 << (8 * self.width)) - 1)
+            h = np.minimum(high, last)
+            low = np.maximum(low, np.where(h > 0, self._select(np.maximum(h - 1, 0), False) - (h - 1), 0))
+            up = np.where(high > last, low, np.minimum(up, self._select(h, False) - h))
+        end = up
         while (open_ := low < up).any():
             mid = (low + up) // 2
-            less = self._lows[np.minimum(mid, self.n - 1)] < want
-            low = np.where(open_ & less, mid + 1, low)
-            up = np.where(open_ & ~less, mid, up)
-        return low
+            less = self._lows(np.minimum(mid, self.n - 1)) < want
+            low, up = np.where(open_ & less, mid + 1, low), np.where(open_ & ~less, mid, up)
+        at = np.minimum(low, self.n - 1)
+        return np.where((low < end) & (self._lows(at) == want), at, -1)
+
+
+def _relative(prints: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Fingerprints, n of each context and rising within it, as one monotone sequence."""
+    stop = np.cumsum(n)
+    last = np.where(n > 0, prints[np.maximum(stop - 1, 0)] if len(prints) else 0, 0).astype(np.uint64)
+    return prints.astype(np.uint64) + np.repeat(np.cumsum(last, dtype=np.uint64) - last, n)
 
 
 class Trie:
     """A shard of the model. ``pack`` makes the flat buffer; reading needs no more than views of it."""
 
-    MAGIC = b"EFTRIE01"
+    MAGIC = b"EFTRIE02"
 
     def __init__(self, buffer) -> None:
         if bytes(buffer[:8]) != self.MAGIC:
             raise ValueError("not a trie")
-        self.contexts = EliasFano(buffer, 8)
-        self.pointers = EliasFano(buffer, self.contexts.end)
-        self.successors = EliasFano(buffer, self.pointers.end)
-        at = self.successors.end
-        self.counts = np.frombuffer(buffer, "<u8", self.contexts.n, at)
-        self.codes = np.frombuffer(buffer, np.uint8, self.successors.n, at + 8 * self.contexts.n)
+        self.words = EliasFano(buffer, 8)
+        at, self.levels = self.words.end, []
+        for _ in (2, 3):
+            pointers = EliasFano(buffer, at)
+            successors = EliasFano(buffer, pointers.end)
+            self.levels.append((pointers, successors))
+            at = successors.end
+        (_, second), (_, third) = self.levels
+        self.counts = np.frombuffer(buffer, "<u8", self.words.n, at)
+        at += 8 * self.words.n
+        sizes = [self.words.n, second.n, second.n, third.n]
+        cuts = np.append(0, np.cumsum(sizes))
+        flat = np.frombuffer(buffer, np.uint8, int(cuts[-1]), at)
+        #: Back-off weights of words; probabilities and back-off weights of pairs; probabilities of triples.
+        self.weights, self.pairs, self.pair_weights, self.triples = (flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
 
     @classmethod
     def open(cls, path: str) -> "Trie":
         return cls(np.memmap(path, np.uint8, "r"))
 
     @classmethod
-    def pack(cls, contexts: np.ndarray, counts: np.ndarray, rank: np.ndarray, fingerprint: np.ndarray, pair_counts: np.ndarray) -> bytes:
-        """contexts: sorted distinct hashes; rank: the context of each successor, non-decreasing, fingerprints (32 bits) rising within it."""
-        pointers = np.concatenate([[0], np.cumsum(np.bincount(rank, minlength=len(contexts)))]) if len(contexts) else np.zeros(1)
-        keys = (rank.astype(np.uint64) << np.uint64(32)) | fingerprint.astype(np.uint64)
-        return b"".join([cls.MAGIC, EliasFano.pack(contexts), EliasFano.pack(pointers), EliasFano.pack(keys), counts.astype("<u8").tobytes(), quantise(pair_counts).tobytes()])
+    def pack(cls, words: np.ndarray, counts: np.ndarray, weights: np.ndarray, n2: np.ndarray, prints2: np.ndarray, p2: np.ndarray, weights2: np.ndarray, n3: np.ndarray, prints3: np.ndarray, p3: np.ndarray) -> bytes:
+        """words: sorted distinct hashes; n2, n3: the successors of each node above, whose fingerprints rise within it; p2, p3 and the weights are quantised here."""
+        out = [cls.MAGIC, EliasFano.pack(words)]
+        for n, prints in ((n2, prints2), (n3, prints3)):
+            out += [EliasFano.pack(np.append(0, np.cumsum(n))), EliasFano.pack(_relative(prints, n))]
+        return b"".join([*out, counts.astype("<u8").tobytes(), *(quantise(x).tobytes() for x in (weights, p2, weights2, p3))])
 
     def ranks(self, hashes: np.ndarray) -> np.ndarray:
-        """Each hash's context, -1 for none."""
-        at = self.contexts.successor(hashes)
-        ok = at < self.contexts.n
-        ok[ok] = self.contexts.get(at[ok]) == hashes[ok].astype(np.uint64)
-        return np.where(ok, at, -1)
-
-    def count(self, ranks: np.ndarray) -> np.ndarray:
-        return np.where(ranks >= 0, self.counts[np.maximum(ranks, 0)], 0) if self.contexts.n else np.zeros(len(ranks), np.uint64)
-
-    def code(self, ranks: np.ndarray, fingerprints: np.ndarray) -> np.ndarray:
-        """The successors' codes, 0 where the context hasn't the successor. Contexts without successors are skipped by their pointers."""
-        out = np.zeros(len(ranks), np.uint8)
-        at = np.flatnonzero(ranks >= 0)
-        r = ranks[at]
-        full = self.pointers.get(r + 1) > self.pointers.get(r)
-        at, r = at[full], r[full]
-        x = (r.astype(np.uint64) << np.uint64(32)) | fingerprints[at].astype(np.uint64)
-        place = self.successors.successor(x)
-        ok = place < self.successors.n
-        ok[ok] = self.successors.get(place[ok]) == x[ok]
-        out[at[ok]] = self.codes[place[ok]]
+        """Each word's node, -1 for none."""
+        return self.words.find(hashes, np.zeros(len(hashes), np.int64), np.full(len(hashes), self.words.n))
+
+    def children(self, level: int, nodes: np.ndarray, prints: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The nodes of successors on level 2 or 3, -1 for none: n fingerprints for each of the nodes above."""
+        pointers, successors = self.levels[level - 2]
+        out = np.full(len(prints), -1)
+        if not successors.n or not len(prints):
+            return out
+        at = np.maximum(nodes, 0)
+        low, up = pointers.get(at).astype(np.int64), pointers.get(at + 1).astype(np.int64)
+        base = np.where(low > 0, successors.get(np.maximum(low - 1, 0)), np.uint64(0))
+        low, up, base = (np.repeat(x, n) for x in (low, np.where(nodes >= 0, up, low), base))
+        some = np.flatnonzero(low < up)
+        out[some] = successors.find(base[some] + prints[some].astype(np.uint64), low[some], up[some])
         return out
+
+
+def at(values: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """values[nodes], 0 for no node."""
+    return np.where(nodes >= 0, values[np.maximum(nodes, 0)], 0) if len(values) else np.zeros(len(nodes), values.dtype)
