@@ -32,7 +32,7 @@ from tidemark.llm.trie import CODEBOOK, Trie, at, quantise
 
 DISCOUNT = 0.75
 BATCH_TOKENS = 1 << 20
-SHARD_TOKENS = 2 << 20
+SHARD_TOKENS = 1 << 20
 HOT = 0.001
 #: The documents whose crc32 of the id leaves this remainder are held out.
 FOLDS, HELD_OUT = 7, 2
@@ -152,8 +152,12 @@ class Grams:
         shard = np.where(c < 0, home[self.before], home[places])
         context = np.where(c < 0, self.before - bounds[home[self.before]], c)
         bits = max(n, len(hot) + 1).bit_length()
-        group, of_group = np.unique((shard * 2 + (c >= 0)) << bits | context, return_inverse=True)
-        pair, self.of2 = np.unique(of_group << bits | places, return_inverse=True)
+        group, of_pair = np.unique((shard * 2 + (c >= 0)) << bits | context, return_inverse=True)
+        del shard, context
+        of_pair <<= bits
+        of_pair |= places
+        pair, of_pair = np.unique(of_pair, return_inverse=True)
+        self.of2 = of_pair.astype(np.int32)
         group = group[pair >> bits]
         self.word, self.context = pair & ((1 << bits) - 1), group & ((1 << bits) - 1)
         self.is_common, self.shard = (group >> bits) & 1 == 1, group >> (bits + 1)
@@ -163,7 +167,9 @@ class Grams:
         key = np.where((pairs >= 0).all(axis=1), pairs[:, 0] * (n + 1) + pairs[:, 1], -1)
         which = _which(self.before[t - 1] * (n + 1) + places[t - 1], key)
         self.tokens3, self.tokens_hot, self.pair_hot_of = t[which < 0], t[which >= 0], which[which >= 0]
-        triple, self.of3 = np.unique(self.of2[self.tokens3 - 1] << bits | places[self.tokens3], return_inverse=True)
+        triple, of_triple = np.unique(of_pair[self.tokens3 - 1] << bits | places[self.tokens3], return_inverse=True)
+        self.of3 = of_triple.astype(np.int32)
+        del of_pair, of_triple
         self.parent3, self.word3 = triple >> bits, triple & ((1 << bits) - 1)
         width = max(1, len(pairs))
         triple, self.of_hot = np.unique((home[places[self.tokens_hot]] * width + self.pair_hot_of) << bits | places[self.tokens_hot], return_inverse=True)

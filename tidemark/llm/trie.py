@@ -15,8 +15,8 @@ DECADES = 7
 _STEPS = 254 / DECADES
 CODEBOOK = np.append(0.0, 10.0 ** ((np.arange(1, 256) - 255) / _STEPS))
 
-_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
-_ONES = _BITS.sum(axis=1)
+_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.uint8)
+_ONES = _BITS.sum(axis=1, dtype=np.uint8)
 #: The place of the k-th set bit of each byte.
 _PLACE = np.argsort(1 - _BITS, axis=1, kind="stable")
 
@@ -36,11 +36,14 @@ class EliasFano:
     def __init__(self, buffer, at: int = 0) -> None:
         self.n, self.width, words = self.HEAD.unpack_from(buffer, at)
         at += self.HEAD.size
-        self._low = np.frombuffer(buffer, np.uint8, self.n * self.width, at).reshape(self.n, self.width)
-        at += self.n * self.width
+        # eight bytes from each number's low ones on, of which those are taken
+        self._low = np.ndarray((self.n,), "<u8", buffer, at, (self.width,)) if self.width else None
+        self._mask = np.uint64((1 << 8 * self.width) - 1)
+        at += self.n * self.width + 8
         self._bits = np.frombuffer(buffer, np.uint8, 8 * words, at).reshape(words, 8)
         at += 8 * words
         self._ones = np.frombuffer(buffer, "<u4", words, at)
+        self._clear = 64 * np.arange(words) - self._ones
         self.end = at + 4 * words
 
     @classmethod
@@ -55,25 +58,22 @@ class EliasFano:
         bits[high + np.arange(n)] = 1
         ones = np.append(0, np.cumsum(bits.reshape(words, 64).sum(axis=1)))[:-1].astype("<u4")
         low = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(n, 8)[:, :width])
-        return cls.HEAD.pack(n, width, words) + low.tobytes() + np.packbits(bits, bitorder="little").tobytes() + ones.tobytes()
+        return cls.HEAD.pack(n, width, words) + low.tobytes() + bytes(8) + np.packbits(bits, bitorder="little").tobytes() + ones.tobytes()
 
     def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
         """The place of the k-th set (or clear) bit, for each k."""
-        before = self._ones if one else 64 * np.arange(len(self._ones)) - self._ones
+        before = self._ones if one else self._clear
         word = np.searchsorted(before, k, "right") - 1
-        rest = k - before[word]
+        rest = (k - before[word]).astype(np.uint8)
         bytes_ = self._bits[word] if one else ~self._bits[word]
-        count = np.cumsum(_ONES[bytes_], axis=1)
+        count = np.cumsum(_ONES[bytes_], axis=1, dtype=np.uint8)
         byte = (count <= rest[:, None]).sum(axis=1)
         rows = np.arange(len(k))
-        rest = rest - np.where(byte > 0, count[rows, np.maximum(byte - 1, 0)], 0)
-        return 64 * word + 8 * byte + _PLACE[bytes_[rows, byte], rest]
+        own = bytes_[rows, byte]
+        return 64 * word + 8 * byte + _PLACE[own, rest + _ONES[own] - count[rows, byte]]
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(i), np.uint64)
-        for b in range(self.width):
-            out |= self._low[i, b].astype(np.uint64) << np.uint64(8 * b)
-        return out
+        return self._low[i] & self._mask if self.width else np.zeros(len(i), np.uint64)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)
@@ -94,13 +94,17 @@ class EliasFano:
             h = np.minimum(high, last)
             low = np.maximum(low, np.where(h > 0, self._select(np.maximum(h - 1, 0), False) - (h - 1), 0))
             up = np.where(high > last, low, np.minimum(up, self._select(h, False) - h))
-        end = up
-        while (open_ := low < up).any():
-            mid = (low + up) // 2
-            less = self._lows(np.minimum(mid, self.n - 1)) < want
-            low, up = np.where(open_ & less, mid + 1, low), np.where(open_ & ~less, mid, up)
-        at = np.minimum(low, self.n - 1)
-        return np.where((low < end) & (self._lows(at) == want), at, -1)
+        place, open_ = low.copy(), np.flatnonzero(low < up)
+        low, top = low[open_], up[open_]
+        while len(open_):
+            mid = (low + top) // 2
+            less = self._lows(mid) < want[open_]
+            low, top = np.where(less, mid + 1, low), np.where(less, top, mid)
+            place[open_] = low
+            more = low < top
+            open_, low, top = open_[more], low[more], top[more]
+        at = np.minimum(place, self.n - 1)
+        return np.where((place < up) & (self._lows(at) == want), at, -1)
 
 
 def _relative(prints: np.ndarray, n: np.ndarray) -> np.ndarray:
