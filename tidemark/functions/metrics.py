@@ -28,11 +28,25 @@ def slope(y: str, x: str) -> Column:
     return F.coalesce(F.regr_slope(y, x), F.lit(0.0))
 
 
+#: Ranges of the order that a group is numbered in, each on its own.
+PIECES = 64
+
+
 def indexed(df: DataFrame, order: str, by: Sequence[str] = (), n: bool = False) -> DataFrame:
-    """Adds _i, the 0-based place by ``order``, and _n, the group's size."""
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    df = df.withColumn("_i", (F.row_number().over(group.orderBy(order)) - 1).cast("long"))
-    return df.withColumn("_n", F.count("*").over(group)) if n else df
+    """Adds _i, the 0-based place by ``order``, a number, and _n, the group's size.
+
+    The order is cut into PIECES ranges, which are numbered on their own and shifted by the counts of those before, so that a large group is no single task.
+    Groups are compared null-safe; rows without an order come first."""
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    width = max(1e-300, (float(high) - float(low)) / PIECES) if low is not None else 1.0
+    piece = F.coalesce(F.floor((F.col(order) - F.lit(low)) / width), F.lit(-1)) if low is not None else F.lit(-1).cast("long")
+    cut = df.withColumn("_b", piece)
+    before = Window.partitionBy(*by).orderBy("_b") if by else Window.partitionBy(F.lit(0)).orderBy("_b")
+    all_ = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    counts = cut.groupBy(*by, "_b").agg(F.count("*").alias("_c")).select(F.struct(*by, "_b").alias("_k"), (F.sum("_c").over(before) - F.col("_c")).alias("_before"), F.sum("_c").over(all_).alias("_n"))
+    place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(order)) - 1
+    out = cut.withColumns({"_i": place, "_k": F.struct(*by, "_b")}).join(counts, "_k").withColumn("_i", (F.col("_i") + F.col("_before")).cast("long"))
+    return out.drop("_k", "_b", "_before", *([] if n else ["_n"]))
 
 
 def slope_vs_index(df: DataFrame, value: str, order: str, by: Sequence[str] = ()) -> DataFrame:

@@ -31,9 +31,10 @@ def passed(experiment: Column, m: Metric) -> Column:
 
 
 def result_line(experiment: Column, m: Metric, ok: Column) -> Column:
-    """One line for the results table."""
+    """One line for the results table. Whole numbers are rounded half to even; a ratio over 0 is infinite, or no number."""
     d = lambda name, default=0.0: F.coalesce(m(name), F.lit(default))
     whole = lambda c: c.cast("long")
+    near = lambda name: F.bround(d(name), 0)
     end = F.when(ok, "PASS").otherwise("FAIL")
     line = lambda fmt, *cols: F.format_string(f"{fmt} %s", *cols, end)
     k = F.coalesce(m("partition_count"), m("partitions_modeled"))
@@ -41,14 +42,15 @@ def result_line(experiment: Column, m: Metric, ok: Column) -> Column:
     mark = F.when(hot, " hot").when(k.isNotNull(), F.concat(F.lit(" K="), whole(k).cast("string"))).otherwise("")
     return (
         F.when(experiment == "bm-c0", line("p50=%.3fms p95=%.3fms", d("p50_ms"), d("p95_ms")))
-        .when(experiment == "bm-c1", line("1=%.0f/s 1000=%.0f/s", d("events_per_sec_batch_1"), d("events_per_sec_batch_1000")))
+        .when(experiment == "bm-c1", line("1=%.0f/s 1000=%.0f/s", near("events_per_sec_batch_1"), near("events_per_sec_batch_1000")))
         .when(experiment == "bm-c2", line("p95@100k=%.3fms", d("p95_poll_ms_100k")))
         .when(experiment == "bm-c3", line("p95=%.3fms", d("p95_ms")))
-        .when(experiment == "bm-c4", line("post/pre=%.2fx", d("post_truncate_p95_ms") / d("pre_truncate_p95_ms", 1.0)))
+        .when((experiment == "bm-c4") & (d("pre_truncate_p95_ms", 1.0) == 0), F.format_string("post/pre=%sx %s", F.when(d("post_truncate_p95_ms") == 0, "NaN").otherwise("inf"), end))
+        .when(experiment == "bm-c4", line("post/pre=%.2fx", F.try_divide(d("post_truncate_p95_ms"), d("pre_truncate_p95_ms", 1.0))))
         .when(experiment == "bm-c5", line("ratio=%.2f", d("growth_ratio_same_vs_isolated")))
         .when(experiment == "bm-c6", line("growth=%.2fx", d("growth_ratio")))
-        .when(experiment.isin(BY_ERRORS[:4]), line("p99=%.3fms %.0f/s err=%.4f%%", d("p99_ms"), d("achieved_ops_per_sec"), d("error_rate") * 100))
-        .when(experiment == "bm-p1", line("K=%d %.0f/s", whole(d("partition_count")), d("achieved_ops_per_sec")))
+        .when(experiment.isin(BY_ERRORS[:4]), line("p99=%.3fms %.0f/s err=%.4f%%", d("p99_ms"), near("achieved_ops_per_sec"), d("error_rate") * 100))
+        .when(experiment == "bm-p1", line("K=%d %.0f/s", whole(d("partition_count")), near("achieved_ops_per_sec")))
         .when(experiment == "bm-p2", line("read=%d/%d", whole(d("rows_read")), whole(d("expected_rows"))))
-        .when(experiment.isin(BY_ERRORS[4:]), line("C=%d%s %.0f/s err=%.4f%%", whole(d("client_count")), mark, d("achieved_ops_per_sec"), d("error_rate") * 100))
+        .when(experiment.isin(BY_ERRORS[4:]), line("C=%d%s %.0f/s err=%.4f%%", whole(d("client_count")), mark, near("achieved_ops_per_sec"), d("error_rate") * 100))
     )

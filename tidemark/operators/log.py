@@ -110,8 +110,13 @@ def on_destination(kind: str | None, logical: str | None) -> Column:
     return out & (F.col("dest_logical") == logical) if logical is not None else out
 
 
+def allowed(limit):
+    """Whether a read may ask for so many rows: a number, or a column of them."""
+    return limit <= MAX_LIMIT
+
+
 def check_limit(limit: int) -> None:
-    if limit > MAX_LIMIT:
+    if not allowed(limit):
         raise errors.Validation(f"a read asks for {limit} rows; {MAX_LIMIT} are allowed")
 
 
@@ -136,6 +141,13 @@ def read_topic_page(events: DataFrame, topic: Column, cursor: tuple[int, str | N
     return events.where(topic).orderBy("seq", F.col("key").asc_nulls_first()).limit(limit)
 
 
+def pages(events: DataFrame, size: int = MAX_LIMIT) -> DataFrame:
+    """How many rows each page of each stream has, for a reader that takes ``size`` rows at a time after the last one it saw."""
+    check_limit(size)
+    page = F.row_number().over(Window.partitionBy(*STREAM).orderBy("seq"))
+    return events.withColumn("page", F.floor((page - 1) / size)).groupBy(*STREAM, "page").agg(F.count("*").alias("n"))
+
+
 def read_many(events: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` rows of each stream in one scan."""
     check_limit(limit)

@@ -5,6 +5,7 @@ made from events too, one each.
 """
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -229,6 +230,27 @@ def _(spark, d):
     return log.read_many(events(spark, d), 5).groupBy("topic").agg(F.count("*").alias("n"))
 
 
+@query("stream_pages", f"with {BASE} select topic, key, ((seq - 1) // 25)::bigint page, count(*)::bigint n from e group by all")
+def _(spark, d):
+    return log.pages(events(spark, d), 25).select("topic", "key", "page", "n")
+
+
+@query("read_limit_check", f"with {BASE}, n as (select distinct 9950 + (ordinal % 100)::bigint n from b) select n as row_limit, n <= 10000 allowed from n")
+def _(spark, d):
+    """Each limit that is asked for against the bound that a read checks."""
+    asked = batch(spark, d).select((9950 + F.col("ordinal") % 100).alias("row_limit")).distinct()
+    return asked.select("row_limit", log.allowed(F.col("row_limit")).alias("allowed"))
+
+
+@query("append_validation", "select event_id ordinal, event_id % 7 = 0 or event_id % 11 = 0 or event_id % 13 = 0 bad from events")
+def _(spark, d):
+    """Records without a topic, without an id and with an attempt out of range. An empty batch is valid."""
+    i = F.col("ordinal")
+    made = batch(spark, d).withColumns({"topic": F.when(i % 7 != 0, F.col("topic")).otherwise(""), "event_id": F.when(i % 11 != 0, F.col("event_id")), "attempt": F.when(i % 13 == 0, log.MAX_ATTEMPT + 1).otherwise(i)})
+    log.validate(made.limit(0))
+    return made.select("ordinal", log.invalid().alias("bad"))
+
+
 # cursors
 
 
@@ -418,6 +440,12 @@ def _(spark, d):
     return metrics.resource_profile(batch(spark, d), "value", "ordinal", ["topic"]).withColumn("mean", F.round("mean", 6))
 
 
+@query("directory_size", "select sum(strlen(props))::bigint bytes from events")
+def _(spark, d):
+    """Each record's properties as a file."""
+    return metrics.directory_bytes(spark.read.parquet(f"{d}/events.parquet").select(F.octet_length("props").cast("long").alias("length")))
+
+
 # rules and projections
 
 _M = """case when bare then null else v end p50, case when bare then null else v * (event_id % 13) end p95, event_id % 5 * 0.004::double slope, v * (event_id % 4) * 0.3::double b1000, v * (event_id % 5) k100, event_id % 9 * 0.01::double decile,
@@ -434,26 +462,24 @@ def _(spark, d):
     return r.select("event_id", "experiment_id", rules.passed(F.col("experiment_id"), projection.metric).alias("pass"))
 
 
-@query(
-    "results_summary",
-    f"""with {REPORTS}, m as (select *, {_M} from f), o as (select *, case when {_PASS} then 'PASS' else 'FAIL' end ok from m) select file,
-    case experiment_id when 'bm-c0' then printf('p50=%.3fms p95=%.3fms %s', coalesce(p50, 0), coalesce(p95, 0), ok) when 'bm-p2' then printf('read=%d/%d %s', case when bare then 0 else event_id % 3 end, case when bare then 0 else event_id % 2 + 1 end, ok)
-    else printf('C=%d%s %.0f/s err=%.4f%% %s', case when bare then 0 else event_id % 5 end, case when bare then '' else printf(' K=%d', event_id % 3) end, case when bare then 0 else v * 100 end, case when bare then 0 else err * 100 end, ok) end line
-    from o where experiment_id in ('bm-c0', 'bm-p2', 'bm-m4')""",
-)
+_LINE = """case when experiment_id = 'bm-c0' then printf('p50=%.3fms p95=%.3fms', if(bare, 0, p50), if(bare, 0, p95)) when experiment_id = 'bm-c1' then printf('1=%.0f/s 1000=%.0f/s', if(bare, 0, v), if(bare, 0, b1000))
+ when experiment_id = 'bm-c2' then printf('p95@100k=%.3fms', if(bare, 0, k100)) when experiment_id = 'bm-c3' then printf('p95=%.3fms', if(bare, 0, p95)) when experiment_id = 'bm-c4' then printf('post/pre=%.2fx', if(bare, 0, post / v))
+ when experiment_id = 'bm-c5' then printf('ratio=%.2f', if(bare, 0, event_id % 3)::double) when experiment_id = 'bm-c6' then printf('growth=%.2fx', if(bare, 0, event_id % 4)::double)
+ when experiment_id = 'bm-p1' then printf('K=%d %.0f/s', if(bare, 0, event_id % 3), if(bare, 0, v * 100)) when experiment_id = 'bm-p2' then printf('read=%d/%d', if(bare, 0, event_id % 3), if(bare, 0, event_id % 2 + 1))
+ when experiment_id[:4] = 'bm-l' then printf('p99=%.3fms %.0f/s err=%.4f%%', if(bare, 0, v * 4), if(bare, 0, v * 100), if(bare, 0, err * 100))
+ else printf('C=%d%s %.0f/s err=%.4f%%', if(bare, 0, event_id % 5), if(bare, '', printf(' K=%d', event_id % 3)), if(bare, 0, v * 100), if(bare, 0, err * 100)) end || ' ' || ok"""
+_OK = f"m as (select *, {_M} from f), o as (select *, case when {_PASS} then 'PASS' else 'FAIL' end ok from m)"
+
+
+@query("results_summary", f"with {REPORTS}, {_OK} select file, {_LINE} line from o")
 def _(spark, d):
-    r = run_reports(spark, d).where("experiment_id in ('bm-c0', 'bm-p2', 'bm-m4')")
     e = F.col("experiment_id")
-    return r.select("file", rules.result_line(e, projection.metric, rules.passed(e, projection.metric)).alias("line"))
+    return run_reports(spark, d).select("file", rules.result_line(e, projection.metric, rules.passed(e, projection.metric)).alias("line"))
 
 
-@query(
-    "fill_results",
-    f"""with {REPORTS}, m as (select *, {_M} from f), o as (select *, case when {_PASS} then 'PASS' else 'FAIL' end ok from m)
-    select experiment_id, string_agg(printf('read=%d/%d %s', case when bare then 0 else event_id % 3 end, case when bare then 0 else event_id % 2 + 1 end, ok) || ' (' || storage || '/off)', '; ' order by file) results from o where experiment_id = 'bm-p2' and status = 'completed' group by all""",
-)
+@query("fill_results", f"with {REPORTS}, {_OK} select experiment_id, string_agg({_LINE} || ' (' || storage || '/off)', '; ' order by file) results from o where status = 'completed' group by all")
 def _(spark, d):
-    return rep.results(run_reports(spark, d)).where("experiment_id = 'bm-p2'")
+    return rep.results(run_reports(spark, d))
 
 
 @query("report_filename", f"with {REPORTS} select event_id, experiment_id || '-' || storage || case storage when 'scylla' then '-scylla-1' when 'tikv-raw' then '-tikv-minimal' else '' end || '-isolated-lab-off-' || hardware || '-c' || (event_id % 5) || '.json' name from f")
@@ -524,9 +550,17 @@ def _(spark, d):
     return projection.monthly_cost(_peaks(spark, d)).withColumn("monthly_usd", F.round("monthly_usd", 6))
 
 
-@query("ceiling_matrix", f"with {REPORTS} select hardware, topo topology, file tag, true z1_on, case when bare then 0 else v * 100 end ops from f where experiment_id in ('bm-m4', 'bm-m5') and storage = 'scylla'")
+_TAGS = ["ceil-z1on-c8", "ceil-z1off-c16", "z1-treatment-none", "z1-baseline-lwt", "plain", "idx-z1off-m4"]
+
+
+@query(
+    "ceiling_matrix",
+    f"""with {REPORTS}, n as (select *, ({_TAGS})[(event_id % 6 + 1)::int] || '-' || file nf from f where experiment_id in ('bm-m4', 'bm-m5') and storage = 'scylla')
+    select hardware, topo topology, (['ceil-z1on-c8', 'ceil-z1off-c16', 'ceil-z1off', 'ceil-z1on', nf, 'ceil-z1off'])[(event_id % 6 + 1)::int] tag, event_id % 6 in (0, 3, 4) z1_on, max(case when bare then 0 else v * 100 end) ops from n group by all""",
+)
 def _(spark, d):
-    return projection.ceilings(run_reports(spark, d))
+    tag = F.get(F.array(*(F.lit(t) for t in _TAGS)), (F.col("event_id") % 6).cast("int"))
+    return projection.ceilings(run_reports(spark, d).withColumn("file", F.concat(tag, F.lit("-"), "file")))
 
 
 _INDEX = """x as (select (['scylla-1', 'scylla-2n', 'scylla-4n'])[((event_id // 54) % 3 + 1)::int] topology, (['m4', 't8', 't64'])[(event_id % 3 + 1)::int] variant, case when event_id % 2 = 0 then 'on' else 'off' end l2,
@@ -560,19 +594,19 @@ def _(spark, d):
 
 @query(
     "stress_parse",
-    "with l as (select event_type log, event_id place, value from events), x as (select log, arg_min((floor(value), place), (-floor(value), place)) b from l where place % 3 = 0 group by log) select log, b[1]::double ops, (b[2] % 16)::bigint threads, (b[2] % 50)::double p95_ms from x",
+    "with l as (select event_type log, event_id place, value from events), x as (select log, arg_min((floor(value), place), (-floor(value), place)) b from l group by log) select log, b[1]::double ops, (b[2] % 16)::bigint threads, (b[2] % 50)::double p95_ms from x",
 )
 def _(spark, d):
     e = batch(spark, d)
     i = F.col("ordinal")
-    # each third record writes its lines; a log is one of cassandra-stress, of its auto-rate mode, or of go-ycsb
+    # each record writes its lines; a log is one of cassandra-stress, of its auto-rate mode, or of go-ycsb
     ops, threads, p95 = F.floor("value").cast("long"), F.format_string("Running with %d threadCount", i % 16), F.format_string("Latency 95th percentile   : %5d.0 ms [WRITE: %d.0 ms]", i % 50, i % 50)
     plain = F.array(threads, F.format_string("Op rate                   : %,8d op/s  [WRITE: %,d op/s]", ops, ops), p95)
     auto = F.array(threads, F.format_string("total, %12d, %8d, %8d, %8d,     0.9,     0.8", i, ops, ops, ops), p95)
     ycsb = F.array(F.format_string("--- threadcount=%d ---", i % 16), F.format_string("TOTAL  - Takes(s): 9.9, Count: 100000, OPS: %d.0, Avg(us): 99, 90th(us): 100, 95th(us): %d, 99th(us): 900", ops, i % 50 * 1000))
     tool = F.crc32("topic") % 3
     text = F.when(tool == 0, plain).when(tool == 1, auto).otherwise(ycsb)
-    rows = e.where("ordinal % 3 = 0").select(F.col("topic").alias("log"), "ordinal", F.posexplode(text).alias("j", "text")).select("log", (F.col("ordinal") * 4 + F.col("j")).alias("place"), "text")
+    rows = e.select(F.col("topic").alias("log"), "ordinal", F.posexplode(text).alias("j", "text")).select("log", (F.col("ordinal") * 4 + F.col("j")).alias("place"), "text")
     return projection.stress_peak(rows)
 
 
@@ -626,6 +660,34 @@ def _(spark, d):
     return matrix.subset(spark, "native-topology").select(_RUN)
 
 
+def _subset_sql() -> str:
+    """Each subset written out: its experiments, storages, topology, TiKV layouts and instances."""
+    every = [*EXPERIMENTS]
+    load, lab, own = ["bm-l0", "bm-l1", "bm-l2", "bm-l3"], ["bm-c0", "bm-c1", "bm-c2", "bm-c3", "bm-c4", "bm-l0", "bm-l1", "bm-l2", "bm-l3"], ["bm-p1", "bm-p2", "bm-m1", "bm-m2", "bm-m4"]
+    three, two, lays, tikv = ["sqlite", "scylla", "tikv-raw"], ["scylla", "tikv-raw"], ["tikv-minimal", "tikv-ha-2", "tikv-ha-3"], ["surreal-tikv"]
+    made = [
+        ("full", every, ["mem", "surreal-mem", "surreal-rocksdb", "sqlite"], None, [None], [1]), ("sql", [e for e in every if e != "bm-c6"], ["sqlite"], None, [None], [1]), ("tikv-lab-colocated", [e for e in every if e != "bm-c5"], tikv, "remote-surreal", lays, [1]),
+        ("tikv-topology", ["bm-l1", "bm-l2"], tikv, "remote-surreal", lays, [1]), ("surreal-scale", ["bm-l1", "bm-l2"], tikv, "remote-surreal", ["tikv-ha-3"], [1, 2, 4]), ("tikv-projection-inputs", load, tikv, "remote-surreal", ["tikv-ha-3"], [1]),
+        ("native-lab", lab, three, None, [None], [1]), ("native-lab-partitioned", load, three, None, [None], [1]), ("native-scale", own, two, None, [None], [1]), ("native-concurrency", ["bm-m3"], two, None, [None], [1]),
+        ("native-projection-inputs", [*load, "bm-m2"], two, None, [None], [1]), ("native-topology", [*load, "bm-m2", *own], two, None, [None], [1]),
+    ]
+    text = lambda x: "null::varchar" if x is None else f"'{x}'"
+    rows = lambda xs: "[" + ", ".join(map(text, xs)) + "]"
+    parts = [
+        f"""select '{name}' matrix, e experiment_id, s storage, t telemetry, {f"'{topo}'" if topo else "case when e = 'bm-c5' then 'shared-handle' else 'isolated-lab' end"} topology, l tikv_topology, n::int surreal_instances
+        from (select unnest({rows(exps)}) e), (select unnest({rows(stores)}) s), (select unnest(['off', 'console']) t), (select unnest({rows(layout)}) l), (select unnest({n}) n) where t = 'off' or '{name}' = 'full' and e in ('bm-c0', 'bm-l1')"""
+        for name, exps, stores, topo, layout, n in made
+    ]
+    return " union all ".join(parts)
+
+
+@query("matrix_subsets", _subset_sql())
+def _(spark, d):
+    names = ["full", "sql", "tikv-lab-colocated", "tikv-topology", "surreal-scale", "tikv-projection-inputs", "native-lab", "native-lab-partitioned", "native-scale", "native-concurrency", "native-projection-inputs", "native-topology"]
+    made = [matrix.subset(spark, n).select(F.lit(n).alias("matrix"), *_RUN, "tikv_topology", "surreal_instances") for n in names]
+    return reduce(DataFrame.unionByName, made)
+
+
 @query("matrix_skips", f"with {_FULL} select experiment_id, storage, telemetry, null::varchar status from m union all select experiment_id, 'postgres', telemetry, case when experiment_id = 'bm-c5' then 'skipped_unsupported' else 'skipped_no_remote' end from m where storage = 'mem'")
 def _(spark, d):
     return matrix.skip_status(matrix.full(spark, postgres=True), remote=False).select("experiment_id", "storage", "telemetry", "status")
