@@ -22,7 +22,7 @@ def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         # small star: a node and its smaller neighbours move to the smallest of them; here a > b
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("x"), "m").where("x <> m").unionByName(low.select(F.col("a").alias("x"), "m"))
-        now = written(small.select(F.col("m").alias("a"), F.col("x").alias("b")).distinct(), "stars")
+        now = written(small.select(F.col("m").alias("a"), F.col("x").alias("b")).distinct(), "stars", now)
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (state.n, state.h) == seen:
             break

@@ -67,7 +67,8 @@ def train(random: DataFrame, ordinary: DataFrame) -> list[float]:
 
 def ratio(token: Column, table: list[float]) -> Column:
     """Mean log-likelihood ratio of a token's transitions, 0 for fewer than two characters."""
-    weights = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")
+    # one literal, which the optimiser folds, so that no row builds the table again
+    weights = F.expr("array(" + ",".join(f"{x:.6f}D" for x in table) + ")")
     codes = F.transform(F.regexp_extract_all(token, F.lit("(?s)."), F.lit(0)), lambda c: F.instr(F.lit(SYMBOLS), c))
     # one value at a time: the state keeps the last code and the sum
     state = F.aggregate(codes, F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")), lambda s, c: F.struct(c.alias("last"), (s["sum"] + F.when(s["last"] < 0, 0.0).otherwise(F.get(weights, s["last"] * WIDTH + c))).alias("sum")))
@@ -79,7 +80,9 @@ def _spans(text: Column, pattern: str, found: Column, kind: str, keep) -> Column
     order = KINDS.index(kind)
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     sizes = F.transform(found, F.length)
-    begin = F.transform(F.sequence(F.lit(1), F.size(found)), lambda i: F.aggregate(F.slice(gaps, F.lit(1), i), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice(sizes, F.lit(1), i - 1), F.lit(0), lambda a, x: a + x))
+    # one pass: the state keeps where the last match ended and the starts so far
+    step = lambda s, i: (s["end"] + F.get(gaps, i)).alias("start")
+    begin = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts")), lambda s, i: F.struct((step(s, i) + F.get(sizes, i)).alias("end"), F.array_append(s["starts"], step(s, i)).alias("starts")))["starts"]
     made = F.transform(found, lambda m, i: F.struct(F.get(F.col(f"_b_{kind}"), i).alias("start"), F.lit(order).alias("rank"), (F.get(F.col(f"_b_{kind}"), i) + F.length(m)).alias("end"), keep(m, i).alias("keep")))
     return begin, made
 
