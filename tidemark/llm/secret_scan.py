@@ -80,9 +80,13 @@ def _spans(text: Column, pattern: str, found: Column, kind: str, keep) -> Column
     order = KINDS.index(kind)
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     sizes = F.transform(found, F.length)
-    # one pass: the state keeps where the last match ended and the starts so far
-    step = lambda s, i: (s["end"] + F.get(gaps, i)).alias("start")
-    begin = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts")), lambda s, i: F.struct((step(s, i) + F.get(sizes, i)).alias("end"), F.array_append(s["starts"], step(s, i)).alias("starts")))["starts"]
+    # one pass over (gap, size): the state keeps where the last match ended and the starts so far; the gap after the last match adds a start that isn't used
+    start = lambda s, x: s["end"] + x["gap"]
+    state = F.aggregate(
+        F.arrays_zip(gaps.alias("gap"), sizes.alias("size")), F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts")),
+        lambda s, x: F.struct((start(s, x) + F.coalesce(x["size"], F.lit(0))).alias("end"), F.array_append(s["starts"], start(s, x)).alias("starts")),
+    )
+    begin = state["starts"]
     made = F.transform(found, lambda m, i: F.struct(F.get(F.col(f"_b_{kind}"), i).alias("start"), F.lit(order).alias("rank"), (F.get(F.col(f"_b_{kind}"), i) + F.length(m)).alias("end"), keep(m, i).alias("keep")))
     return begin, made
 
