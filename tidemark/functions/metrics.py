@@ -55,15 +55,18 @@ def slope_vs_index(df: DataFrame, value: str, order: str, by: Sequence[str] = ()
 
 def decile_p95_slope(df: DataFrame, value: str, order: str, by: Sequence[str] = ()) -> DataFrame:
     """The slope of the 95th percentiles of ten equal chunks; what is left after ten is dropped; 0 for under 20 samples."""
-    chunk = F.floor(F.col("_i") / F.floor(F.col("_n") / 10)).cast("long")
-    parts = indexed(df, order, by, n=True).where("_n >= 20").withColumn("_c", chunk).where("_c < 10")
-    p95 = nearest_rank(parts, value, [95], [*by, "_c"])
-    slopes = p95.groupBy(*by).agg(slope("p95", "_c").alias("decile_p95_slope"))
+    slopes = _deciles(indexed(df, order, by, n=True), value, by)
     if not by:
         return slopes
     return df.select(*by).distinct().join(slopes, list(by), "left").select(*by, F.coalesce("decile_p95_slope", F.lit(0.0)).alias("decile_p95_slope"))
 
 
+def _deciles(placed: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    chunk = F.floor(F.col("_i") / F.floor(F.col("_n") / 10)).cast("long")
+    p95 = nearest_rank(placed.where("_n >= 20").withColumn("_c", chunk).where("_c < 10"), value, [95], [*by, "_c"])
+    return p95.groupBy(*by).agg(slope("p95", "_c").alias("decile_p95_slope"))
+
+
 def growth_ratio(before: Column, after: Column) -> Column:
     return F.when(before == 0, F.when(after == 0, 1.0).otherwise(float("inf"))).otherwise(after / before)
 
@@ -86,8 +89,10 @@ def size_gib(text: Column) -> Column:
 def summary(df: DataFrame, value: str, order: str, by: Sequence[str]) -> DataFrame:
     """p50, p95, p99, mean, count and both slopes."""
     by = list(by)
-    base = df.groupBy(*by).agg(mean(value).alias("mean"), F.count(value).alias("sample_count"))
-    return base.join(nearest_rank(df, value, [50, 95, 99], by), by, "left").join(slope_vs_index(df, value, order, by), by).join(decile_p95_slope(df, value, order, by), by)
+    placed = indexed(df, order, by, n=True)
+    base = placed.groupBy(*by).agg(mean(value).alias("mean"), F.count(value).alias("sample_count"), slope(value, "_i").alias("slope_vs_index"))
+    out = base.join(nearest_rank(df, value, [50, 95, 99], by), by, "left").join(_deciles(placed, value, by), by, "left")
+    return out.withColumn("decile_p95_slope", F.coalesce("decile_p95_slope", F.lit(0.0)))
 
 
 def resource_profile(samples: DataFrame, value: str, ts: str, by: Sequence[str] = ()) -> DataFrame:
