@@ -1,6 +1,9 @@
 import hashlib
+import random
 import re
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import secret_scan as S
 
 KINDS = ["assign", "access", "hex"]
@@ -48,17 +51,37 @@ def test_models_on_held_out_strings(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     table = S.train(S.random_strings(spark), S.ordinary_identifiers(d))
     # strings that training hasn't seen
-    random = [hashlib.sha256(f"held-{i}".encode()).hexdigest()[:n].translate(str.maketrans("0123456789", "0123456789"[::-1])) for i in range(100) for n in (20, 31)]
+    keys = [hashlib.sha256(f"held-{i}".encode()).hexdigest()[:n].translate(str.maketrans("0123456789", "0123456789"[::-1])) for i in range(100) for n in (20, 31)]
     words = [w for r in d.where("doc_id >= 100").collect() for w in re.findall("[A-Za-z]{4,12}", r.text)][:2000]
     plain = [f"{a.lower()}_{b.lower()}_{i % 100}" for i, (a, b) in enumerate(zip(words[::2], words[1::2], strict=False))]
-    rows = [(x, True) for x in random] + [(x, False) for x in plain]
-    from pyspark.sql import functions as F
-
+    rows = [(x, True) for x in keys] + [(x, False) for x in plain]
     got = spark.createDataFrame(rows, "t string, random boolean").select("random", (S.ratio(F.col("t"), table) > S.THRESHOLD).alias("said")).collect()
-    assert sum(r.said for r in got if r.random) >= 0.95 * len(random)
+    assert sum(r.said for r in got if r.random) >= 0.95 * len(keys)
     assert sum(r.said for r in got if not r.random) <= 0.03 * len(plain)
 
 
+def test_held_out_strings_without_digits(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    table = S.train(S.random_strings(spark), S.ordinary_identifiers(d))
+    small, large = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    r = random.Random(7)
+    kinds = {"small": (small, 20), "large": (large, 20), "mixed": (small + large, 20), "base64": (small + large + "+/", 24)}
+    rows = [(k, "".join(r.choices(a, k=n))) for k, (a, n) in kinds.items() for _ in range(200)]
+    words = [w for x in d.where("doc_id >= 100").collect() for w in re.findall("[A-Za-z]{4,12}", x.text)][:3000]
+    rows += [("words", "".join(w)) for w in zip(words[::3], words[1::3], words[2::3], strict=False) if len("".join(w)) >= 16]
+    rows += [("same", c * 30) for c in small + large] + [("pair", (a + b) * 12) for a, b in zip(small, large, strict=True)]
+    got = spark.createDataFrame(rows, "k string, t string").groupBy("k").agg(F.avg(S.looks_random(F.col("t"), table).cast("double"))).collect()
+    share = {k: v for k, v in got}
+    assert share["small"] >= 0.85 and min(share["large"], share["mixed"], share["base64"]) >= 0.95
+    assert share["words"] <= 0.01 and share["same"] == share["pair"] == 0
+
+
+def test_letters_are_spans(spark, sf):
+    table = S.train(S.random_strings(spark), S.ordinary_identifiers(spark.read.parquet(f"{sf}/documents.parquet")))
+    d = spark.createDataFrame([(1, "see qXZxkLmKvPwTsQyRgbJh and incomprehensibilities " + "-" * 40 + " " + "z" * 50 + " 12345678901234567890")], "doc_id long, text string")
+    assert [(s.start, s.end) for s in S.scan(d, table).first().extra] == [(4, 24)]
+
+
 def test_markov_spans(spark, sf):
     table = S.train(S.random_strings(spark), S.ordinary_identifiers(spark.read.parquet(f"{sf}/documents.parquet")))
     token = "q7Zx91LmK2vP0sTy84Rb"

@@ -1,8 +1,9 @@
 """Secret scans with DataFrame functions only: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
-Patterns give the base spans. Further candidates are long runs of identifier characters that hold a digit and a letter; a candidate
+Patterns give the base spans. Further candidates are long runs of identifier characters that hold a letter; a candidate
 whose mean log-likelihood ratio per transition (random strings against ordinary identifiers) passes the threshold becomes a ``markov``
-span, unless it overlaps a base span. Both models are character bigrams with add-one smoothing, trained from labelled samples.
+span, unless it overlaps a base span. Runs without a digit, which long words are too, have a stricter threshold and must vary, so that
+a letter said many times isn't one. Both models are character bigrams with add-one smoothing, trained from labelled samples.
 
 Nulls and empty texts have no spans. Positions count code points. Repeated rows give repeated results, and extra columns stay (``scan``
 replaces columns of its own names).
@@ -19,11 +20,14 @@ LEAST_VALUE = 8
 KINDS = ("assign", "access", "hex", "markov")
 
 #: Candidates of the models, and the models' symbols; any other character is symbol 0.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 WIDTH = len(SYMBOLS) + 1
 #: Nats per transition above which a candidate counts as random.
 THRESHOLD = 0.25
+#: The same for candidates without a digit, and the distinct characters that such a one must have.
+LETTERS = 1.5
+VARIED = 8
 #: Bounds of the labelled samples: generated strings of each kind, and documents whose words are the ordinary identifiers.
 SAMPLE_STRINGS = 3000
 SAMPLE_DOCS = 400
@@ -75,6 +79,12 @@ def ratio(token: Column, table: list[float]) -> Column:
     return state["sum"] / F.greatest(F.length(token) - 1, F.lit(1))
 
 
+def looks_random(token: Column, table: list[float], threshold: float = THRESHOLD, letters: float = LETTERS) -> Column:
+    digit = token.rlike("[0-9]")
+    varied = F.size(F.array_distinct(F.regexp_extract_all(token, F.lit("(?s)."), F.lit(0)))) >= VARIED
+    return (digit | varied) & (ratio(token, table) > F.when(digit, threshold).otherwise(letters))
+
+
 def _spans(text: Column, pattern: str, found: Column, kind: str, keep) -> Column:
     """Spans of all matches that ``keep`` admits. Where a match starts follows from the lengths of the matches and of the pieces between them."""
     order = KINDS.index(kind)
@@ -91,14 +101,14 @@ def _spans(text: Column, pattern: str, found: Column, kind: str, keep) -> Column
     return begin, made
 
 
-def scan(docs: DataFrame, table: list[float], threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, table: list[float], threshold: float = THRESHOLD, letters: float = LETTERS) -> DataFrame:
     """Adds ``base`` and ``extra``: arrays of (start, rank, end), where rank is the kind's place in KINDS."""
     text = F.coalesce("text", F.lit(""))
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "markov": CANDIDATE}
     names = [c for c in docs.columns if c not in ("base", "extra")]
     d = docs.select(*names, *(F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"_m_{k}") for k, p in patterns.items()))
     d = d.select(
-        *names, *(f"_m_{k}" for k in KINDS), F.transform("_m_assign", lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= LEAST_VALUE).alias("_k_assign"), F.transform("_m_markov", lambda m: ratio(m, table) > threshold).alias("_k_markov")
+        *names, *(f"_m_{k}" for k in KINDS), F.transform("_m_assign", lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= LEAST_VALUE).alias("_k_assign"), F.transform("_m_markov", lambda m: looks_random(m, table, threshold, letters)).alias("_k_markov")
     )
     wanted = {"assign": F.exists("_k_assign", lambda k: k), "access": F.size("_m_access") > 0, "hex": F.size("_m_hex") > 0, "markov": F.exists("_k_markov", lambda k: k)}
     keep = {"assign": lambda m, i: F.get(F.col("_k_assign"), i), "markov": lambda m, i: F.get(F.col("_k_markov"), i)}
