@@ -30,8 +30,8 @@ def passed(experiment: Column, m: Metric) -> Column:
     )
 
 
-def result_line(experiment: Column, m: Metric, ok: Column) -> Column:
-    """One line for the results table. Whole numbers are rounded half to even; a ratio over 0 is infinite, or no number."""
+def result_line(experiment: Column, m: Metric, ok: Column, nan: str = "NaN") -> Column:
+    """One line for the results table. Whole numbers are rounded half to even; a ratio over 0 is infinite, or ``nan`` for 0/0."""
     d = lambda name, default=0.0: F.coalesce(m(name), F.lit(default))
     whole = lambda c: c.cast("long")
     near = lambda name: F.bround(d(name), 0)
@@ -45,7 +45,7 @@ def result_line(experiment: Column, m: Metric, ok: Column) -> Column:
         .when(experiment == "bm-c1", line("1=%.0f/s 1000=%.0f/s", near("events_per_sec_batch_1"), near("events_per_sec_batch_1000")))
         .when(experiment == "bm-c2", line("p95@100k=%.3fms", d("p95_poll_ms_100k")))
         .when(experiment == "bm-c3", line("p95=%.3fms", d("p95_ms")))
-        .when((experiment == "bm-c4") & (d("pre_truncate_p95_ms", 1.0) == 0), F.format_string("post/pre=%sx %s", F.when(d("post_truncate_p95_ms") == 0, "NaN").otherwise("inf"), end))
+        .when((experiment == "bm-c4") & (d("pre_truncate_p95_ms", 1.0) == 0), F.format_string("post/pre=%sx %s", F.when(d("post_truncate_p95_ms") == 0, nan).otherwise("inf"), end))
         .when(experiment == "bm-c4", line("post/pre=%.2fx", F.try_divide(d("post_truncate_p95_ms"), d("pre_truncate_p95_ms", 1.0))))
         .when(experiment == "bm-c5", line("ratio=%.2f", d("growth_ratio_same_vs_isolated")))
         .when(experiment == "bm-c6", line("growth=%.2fx", d("growth_ratio")))

@@ -36,9 +36,9 @@ def file_name(tags: list[Column | str] = ()) -> Column:
     return F.concat(F.concat_ws("-", start, "telemetry", "hardware", *tags), F.lit(".json"))
 
 
-def results(reports: DataFrame) -> DataFrame:
-    """experiment_id and its completed runs' lines, in file order."""
-    line = rules.result_line(F.col("experiment_id"), metric, rules.passed(F.col("experiment_id"), metric))
+def results(reports: DataFrame, nan: str = "NaN") -> DataFrame:
+    """experiment_id and its completed runs' lines, in file order; ``nan`` is how a line spells 0/0."""
+    line = rules.result_line(F.col("experiment_id"), metric, rules.passed(F.col("experiment_id"), metric), nan)
     rows = reports.where("status = 'completed'").select("experiment_id", F.struct("file", F.concat(line, F.lit(" ("), "storage", F.lit("/"), "telemetry", F.lit(")")).alias("line")).alias("r"))
     return rows.groupBy("experiment_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]), "; ").alias("results"))
 
